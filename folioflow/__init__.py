@@ -1 +1,8 @@
 """folioflow: composing finite editions from semi-structured document streams, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the library's functions by value, so they need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
