@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from folioflow.llm import encoding
+from folioflow.llm import duplicates, encoding, lookalikes
 
 QUERIES = {
     "p1_found": encoding.p1_found,
     "p1_garbled": encoding.p1_garbled,
+    "p2_found": duplicates.p2_found,
+    "p2_ledger": duplicates.p2_ledger,
+    "p3_found": lookalikes.p3_found,
+    "p3_unified": lookalikes.p3_unified,
+    "p3_groups": lookalikes.p3_groups,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": duplicates.P2_FOUND_SQL,
+    "p2_ledger": duplicates.P2_LEDGER_SQL,
+}
