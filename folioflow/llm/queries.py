@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import duplicates, encoding, lookalikes
+from folioflow.llm import boilerplate, duplicates, encoding, lookalikes
 
 QUERIES = {
     "p1_found": encoding.p1_found,
@@ -12,9 +12,13 @@ QUERIES = {
     "p3_found": lookalikes.p3_found,
     "p3_unified": lookalikes.p3_unified,
     "p3_groups": lookalikes.p3_groups,
+    "p4_found": boilerplate.p4_found,
+    "p4_cleaned": boilerplate.p4_cleaned,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": duplicates.P2_FOUND_SQL,
     "p2_ledger": duplicates.P2_LEDGER_SQL,
+    "p4_found": boilerplate.P4_FOUND_SQL,
+    "p4_cleaned": boilerplate.P4_CLEANED_SQL,
 }
