@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import boilerplate, duplicates, encoding, lookalikes
+from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes
 
 QUERIES = {
     "p1_found": encoding.p1_found,
@@ -14,6 +14,9 @@ QUERIES = {
     "p3_groups": lookalikes.p3_groups,
     "p4_found": boilerplate.p4_found,
     "p4_cleaned": boilerplate.p4_cleaned,
+    "p8_found": leaks.p8_found,
+    "p8_report": leaks.p8_report,
+    "p8_clean": leaks.p8_clean,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -21,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "p2_ledger": duplicates.P2_LEDGER_SQL,
     "p4_found": boilerplate.P4_FOUND_SQL,
     "p4_cleaned": boilerplate.P4_CLEANED_SQL,
+    "p8_found": leaks.P8_FOUND_SQL,
 }
