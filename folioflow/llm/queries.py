@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes
+from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes, quality
 
 QUERIES = {
     "p1_found": encoding.p1_found,
@@ -17,6 +17,8 @@ QUERIES = {
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
     "p8_clean": leaks.p8_clean,
+    "p9_found": quality.p9_found,
+    "p9_statistics": quality.p9_statistics,
 }
 
 ORACLE_SQL: dict[str, str] = {
