@@ -186,6 +186,17 @@ def choose_ways(votes: dict[str, int], least: int) -> list[int]:
     return chosen
 
 
+def _java_class(chars: set[str]) -> str:
+    """A Java character class, neighbours joined to ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 class Restorer:
     """The learned tables, applied to one text at a time."""
 
@@ -193,6 +204,7 @@ class Restorer:
         self.pairs = pairs
         self.total = sum(pairs.values()) + 1
         self.tables, self.swaps = [], []
+        self.known: dict[tuple[str, str], float] = {}  # words were judged before: texts repeat them
         for name in ways:
             way = Misreading(*name.split(">"))
             table = {g: c for c in sorted(alphabet, key=alphabet.get) if c > "\x7f" and (g := way.garble(c)) and g != c}
@@ -212,31 +224,36 @@ class Restorer:
 
     @staticmethod
     def _pattern(table: dict[str, str], sure: bool) -> re.Pattern:
-        """Any garbled sequence. To be ``sure``, those of Cyrillic letters have to come in twos, and none ends a capital's word."""
+        """Any garbled sequence. To be ``sure``, those of Cyrillic letters have to come in twos, and none ends a capital's word.
+
+        Every branch begins with a plain character: the search then looks for those only.
+        """
         once, twice = defaultdict(list), defaultdict(list)
         for g, c in table.items():
             (twice if sure and "\u0400" <= c <= "\u04ff" else once)[g[0]].append(g[1:])
 
-        def branches(leads: dict[str, list[str]]) -> str:
+        def branches(leads: dict[str, list[str]], after: str = "") -> list[str]:
             out = []
             for lead, rests in leads.items():
                 ones = "".join(re.escape(r) for r in rests if len(r) == 1 and r != " ")
                 more = [re.escape(r) for r in sorted(rests, key=len, reverse=True) if len(r) > 1]
-                out.append(re.escape(lead) + "(?:" + "|".join(more + ([f"[{ones}]"] if ones else [])) + ")") if more or ones else None
+                if more or ones:
+                    out.append(re.escape(lead) + "(?:" + "|".join(more + ([f"[{ones}]"] if ones else [])) + ")" + after)
                 if " " in rests:
-                    out.append(("(?<![A-Z])" if sure else "") + re.escape(lead) + " ")
-            return "|".join(out)
+                    out.append(re.escape(lead) + (f"(?<![A-Z]{re.escape(lead)})" if sure else "") + " " + after)
+            return out
 
-        return re.compile("|".join(x for x in (branches(once), f"(?:{branches(twice)}){{2,}}" if twice else "") if x))
+        return re.compile("|".join(branches(once) + branches(twice, f"(?:{'|'.join(branches(twice))})+")))
 
-    def leads(self) -> set[str]:
-        """Characters of which a garbled text has at least one."""
-        found = {"\ufffd", *map(chr, range(0x80, 0xA0))}
+    def suspect(self) -> str:
+        """A Java pattern that every text has a match of which ``restore`` may change; ASCII is passed over at once."""
+        parts = ["[\\x{80}-\\x{9f}\\x{fffd}]"]
         for _, table, _, _ in self.tables:
-            found |= {g[0] for g in table}
-        for _, letters, _ in self.swaps:
-            found |= {chr(c) for c in letters}
-        return found
+            wide = [g for g in table if len(g) > 1]
+            if wide:
+                parts.append(_java_class({g[0] for g in wide}) + _java_class({g[1] for g in wide}))
+        parts += [_java_class({chr(c) for c in letters if c > 127}) + "{3}" for _, letters, _ in self.swaps]
+        return "(?=[^\\x{00}-\\x{7f}])(?:" + "|".join(parts) + ")"
 
     def gain(self, seen: str, meant: str) -> tuple[float, int]:
         """How much likelier the letter pairs of ``meant`` are, in nats, and over how many pairs."""
@@ -279,9 +296,15 @@ class Restorer:
         for name, letters, everything in self.swaps:
             spans = []
             for m in _WORD.finditer(text):
-                total, k = self.gain(m.group(), m.group().translate(letters))
-                if k >= 3 and total > 2.0 * k and total > 8:
-                    spans.append((m.start(), m.end(), total))
+                word = m.group()
+                if word.isascii():
+                    continue
+                gained = self.known.get((name, word))
+                if gained is None:
+                    total, k = self.gain(word, word.translate(letters))
+                    gained = self.known[name, word] = total if k >= 3 and total > 2.0 * k and total > 8 else 0.0
+                if gained:
+                    spans.append((m.start(), m.end(), gained))
             if spans and (best is None or sum(s[2] for s in spans) > best[0]):
                 best = (sum(s[2] for s in spans), name, spans[0][0], spans[-1][1], everything)
         if best is None:
@@ -307,6 +330,8 @@ class Restorer:
 
     def restore(self, text: str) -> tuple[str, str] | None:
         """(ways, restored text), or null when the text isn't garbled; lost characters stay U+FFFD."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
         ways, now = [], text
         for _ in range(4):
             step = self._undo_table(now) or self._undo_swap(now)
@@ -347,8 +372,7 @@ def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int]
     without twins teaches nothing but U+FFFD and stray control characters, which need no table.
     """
     ways, alphabet, pairs = learned or learn(values.filter(F.col("text").isNotNull()))
-    leads = Restorer(ways, alphabet, pairs).leads()
-    suspect = "[" + "".join(sorted(f"\\x{{{ord(c):x}}}" for c in leads)) + "]"
+    suspect = Restorer(ways, alphabet, pairs).suspect()
     extra = [f for f in values.schema.fields if f.name not in ("ways", "restored")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", ways string, restored string"
 
@@ -359,7 +383,7 @@ def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int]
             hit = [d is not None for d in done]
             yield batch[hit].assign(ways=[d[0] for d in done if d], restored=[d[1] for d in done if d])
 
-    return values.select(*[f"`{f.name}`" for f in extra]).filter(F.col("text").rlike(suspect)).mapInPandas(run, schema)
+    return values.select(*[f"`{f.name}`" for f in extra]).filter((F.length("text") != F.octet_length("text")) & F.col("text").rlike(suspect)).mapInPandas(run, schema)
 
 
 def p1_garbled(spark, sf_dir: str) -> DataFrame:
