@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes, quality
+from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes, quality, truncation
 
 QUERIES = {
     "p1_found": encoding.p1_found,
@@ -14,6 +14,8 @@ QUERIES = {
     "p3_groups": lookalikes.p3_groups,
     "p4_found": boilerplate.p4_found,
     "p4_cleaned": boilerplate.p4_cleaned,
+    "p5_found": truncation.p5_found,
+    "p5_shares": truncation.p5_shares,
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
     "p8_clean": leaks.p8_clean,
