@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes, quality, truncation
+from folioflow.llm import boilerplate, duplicates, encoding, leaks, lookalikes, packing, quality, truncation
 
 QUERIES = {
     "p1_found": encoding.p1_found,
@@ -16,6 +16,8 @@ QUERIES = {
     "p4_cleaned": boilerplate.p4_cleaned,
     "p5_found": truncation.p5_found,
     "p5_shares": truncation.p5_shares,
+    "p7_packed": packing.p7_packed,
+    "p7_fill": packing.p7_fill,
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
     "p8_clean": leaks.p8_clean,
