@@ -46,8 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only where the side has at most ``max_rows`` rows; else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Hint a broadcast only where the side has at most ``max_rows`` rows; else leave the join to AQE.
+
+    The side is materialised before it is counted, so whatever it derives from is computed once.
+    """
+    side = cut(df)
+    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
