@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folioflow.operators import timestamps
+from folioflow.operators import selection, timestamps
 
-QUERIES = {
+_MODULES = (selection,)
+
+QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
     "p6_zone_estimates": timestamps.p6_zone_estimates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
