@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import bounded_broadcast
+from folioflow.session import bounded_broadcast, cut
 
 WINDOW = 8  # letters that decide on a cut
 MEAN_BITS = 5  # a cut every 32 letters in the mean
@@ -113,7 +113,7 @@ def repeated_blocks(items: DataFrame, least_rows: int = 10, least_share: float =
     excessive = bounded_broadcast(counted.join(totals, "source_name").filter("docs >= least - 1e-9").select("source_name", F.col("chunk").alias("each")), 1_000_000)
     blocks = lines.mapInPandas(block_chunks, "item_id bigint, source_name string, pos int, line binary, chunks array<bigint>")
     hits = blocks.select("item_id", "source_name", "pos", "line", F.size("chunks").alias("of"), F.explode("chunks").alias("each")).join(excessive, ["source_name", "each"])
-    candidates = hits.groupBy("item_id", "source_name", "pos", "line", "of").agg(F.count("*").alias("n")).filter("n = of").select("item_id", "source_name", "pos", "line")
+    candidates = cut(hits.groupBy("item_id", "source_name", "pos", "line", "of").agg(F.count("*").alias("n")).filter("n = of").select("item_id", "source_name", "pos", "line"))
     rows = candidates.select("source_name", "line", "item_id").distinct().groupBy("source_name", "line").agg(F.count("*").alias("rows"))
     sure = rows.join(totals, "source_name").filter("rows >= least - 1e-9").select("source_name", "line")
     return candidates.join(bounded_broadcast(sure, 1_000_000), ["source_name", "line"], "left_semi").select("source_name", "item_id", "pos")
