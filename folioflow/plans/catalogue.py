@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.operators import selection, timestamps
+from folioflow.operators import content, selection, timestamps
 
-_MODULES = (selection,)
+_MODULES = (selection, content)
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
