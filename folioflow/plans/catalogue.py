@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.operators import content, selection, timestamps
+from folioflow.operators import content, selection, state, timestamps
 
-_MODULES = (selection, content)
+_MODULES = (selection, content, state)
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
