@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from folioflow.operators import content, selection, state, timestamps
+from folioflow.plans import documents
 
-_MODULES = (selection, content, state)
+_MODULES = (selection, content, state, documents)
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
