@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.operators import content, selection, state, timestamps
+from folioflow.operators import content, layout, selection, state, timestamps
 from folioflow.plans import documents
+from folioflow.sources import http, store
+from folioflow.streaming import carry_over, gestures
 
-_MODULES = (selection, content, state, documents)
+_MODULES = (selection, content, state, documents, layout, carry_over, gestures, http, store)
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
