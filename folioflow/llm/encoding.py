@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.fields import values_of
+from folioflow.llm.fields import values_of, with_texts
 from folioflow.session import cut
 
 # Encodings that may have been written, and those that may have been assumed when reading.
@@ -381,7 +381,7 @@ def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int]
         for batch in batches:
             done = [restorer.restore(t) for t in batch["text"]]
             hit = [d is not None for d in done]
-            yield batch[hit].assign(ways=[d[0] for d in done if d], restored=[d[1] for d in done if d])
+            yield with_texts(batch[hit], ways=[d[0] for d in done if d], restored=[d[1] for d in done if d])
 
     return values.select(*[f"`{f.name}`" for f in extra]).filter((F.length("text") != F.octet_length("text")) & F.col("text").rlike(suspect)).mapInPandas(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +16,8 @@ def values_of(items: DataFrame, keep: tuple[str, ...] = ("item_id",), author: bo
     blocks = F.transform(F.coalesce(F.col("blocks"), F.array()), lambda b: F.struct(F.lit("block").alias("field"), b.pos.cast("int").alias("pos"), b.text.alias("text")))
     parts = [one("title"), *([one("author")] if author else []), blocks]
     return items.select(*keep, F.inline(F.concat(*parts))).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+
+
+def with_texts(frame: pd.DataFrame, **columns: list[str]) -> pd.DataFrame:
+    """The frame with columns of texts, which stay texts when there are no rows."""
+    return frame.assign(**{c: pd.Series(v, index=frame.index, dtype=object) for c, v in columns.items()})
