@@ -23,7 +23,7 @@ KINDS = ("prose", "list", "table", "junk")
 STATISTICS = ("words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share")
 SHAPES = (
     "digit_share", "other_share", "punct_share", "space_share", "distinct_share", "markup_share", "mixed_word_share", "one_letter_share", "longest_word", "line_length",
-    "prose_line_chars", "numbered_line_chars", "bullet_line_chars", "digit_line_chars", "separated_line_chars", "digit_end_chars", "short_line_chars", "leader_line_chars", "deviation_word_length",
+    "prose_line_chars", "numbered_line_chars", "bullet_line_chars", "digit_line_chars", "separated_line_chars", "digit_end_chars", "short_line_chars", "leader_line_chars", "deviation_word_length", "distinct_words",
 )
 FEATURES = STATISTICS + SHAPES
 
@@ -74,7 +74,7 @@ def measure(texts: list[str | None], common: list[np.ndarray]) -> dict[str, np.n
             distinct[i], longest[i] = len(values), words.size[bounds[i] : bounds[i + 1]].max()
             if len(common[i]):
                 known[i] = times[np.isin(values, common[i])].sum()
-    out |= {"distinct_share": _share(distinct, count), "common_word_share": _share(known, count), "longest_word": longest}
+    out |= {"distinct_share": _share(distinct, count), "distinct_words": distinct, "common_word_share": _share(known, count), "longest_word": longest}
     sums = np.concatenate(([0], np.cumsum(kind == DIGIT)))
     inside = sums[words.start + words.size] - sums[words.start]
     out["mixed_word_share"] = _share(np.bincount(words.text[(inside > 0) & (inside < words.size)], minlength=n), count)
@@ -119,7 +119,7 @@ def measure(texts: list[str | None], common: list[np.ndarray]) -> dict[str, np.n
         "short_line_chars": chars_in((weight < 60) & ~ended),
         "leader_line_chars": chars_in(within(dots) >= 1),
     }
-    return {k: np.round(out[k], 0 if k in ("words", "longest_word") else 2 if "length" in k else 4) for k in FEATURES}
+    return {k: np.round(out[k], 0 if k in ("words", "longest_word", "distinct_words") else 2 if "length" in k else 4) for k in FEATURES}
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +202,7 @@ def outlier_scores(statistics: DataFrame, columns: tuple[str, ...] = STATISTICS)
 class Forest:
     """Classification trees on random rows and features, grown on binned values."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: int, trees: int = 40, depth: int = 9, least: int = 4, bins: int = 48, seed: int = 7):
+    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: int, trees: int = 40, depth: int = 9, least: int = 4, bins: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.kinds, self.trees = kinds, []
         self.edges = [np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) for col in x.T]
@@ -222,7 +222,7 @@ class Forest:
                     continue
                 best = (1e-9, -1, 0)
                 base = len(own) - (votes**2).sum() / len(own)
-                for f in rng.choice(x.shape[1], max(1, int(x.shape[1] ** 0.5) + 2), replace=False):
+                for f in rng.choice(x.shape[1], max(1, x.shape[1] // 2), replace=False):
                     k = len(self.edges[f]) + 1
                     table = np.bincount(binned[own, f] * kinds + y[own], minlength=k * kinds).reshape(k, kinds).cumsum(0)[:-1].astype(float)
                     left = table.sum(1)

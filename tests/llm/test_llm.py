@@ -97,6 +97,7 @@ def test_one_key_for_a_third_of_all_rows(spark):
         ("кoмбинaт", "комбинат"),
         ("oﬃce", "office"),
         ("it is а cat here", "it is a cat here"),
+        ("\u212bngstrom", "Ångstrom"),
     ],
 )
 def test_stand_ins(text, form):
