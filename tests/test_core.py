@@ -241,3 +241,18 @@ def test_store_keeps_the_old_edition_when_nothing_is_new(spark):
     stories = spark.createDataFrame([(1, 2, [(0, ["a"]), (1, ["b"])]), (2, 1, [(0, ["c"])])], "composed_pos int, page_count int, pages array<struct<page int, lines array<string>>>")
     assert write_edition(stories, path, "d1") and not write_edition(stories.filter("composed_pos > 5"), path, "d1")
     assert read_index(spark, path, "d1").count() == 2 and [r.lines for r in story_pages(spark, path, "d1", 1).orderBy("page").collect()] == [["a"], ["b"]]
+
+
+def test_reading_session():
+    from folioflow.streaming.reader import Session
+
+    s = Session([2, 0, 1])
+    assert s.act("swipe-right") and (s.mode, s.at) == ("article", 0)
+    assert s.act("swipe-down") and s.page == 1 and not s.act("swipe-down") and s.act("swipe-up") and not s.act("tap")
+    assert s.act("swipe-right") and (s.at, s.read) == (2, {0, 2})  # the story without pages is passed over unmarked
+    assert s.act("swipe-right") and (s.mode, s.at) == ("finished", 2) or s.at == 2
+    s = Session([1, 1])
+    assert s.act("tap") and s.armed and s.act("swipe-left") and not s.armed and not s.read
+    assert s.act("tap") and s.act("tap") and s.read == {0, 1} and s.act("swipe-right") and s.mode == "finished"
+    assert not s.act("swipe-left") and s.act("long-press") and s.mode == "home" and not s.act("long-press")
+    assert not Session([]).act("swipe-up") and Session([]).act("swipe-right")
