@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.datetimes import let
 from folioflow.llm.boilerplate import repeated_blocks
 from folioflow.session import bounded_broadcast, cut
 
@@ -34,26 +35,52 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}\x{200b}\x{feff}]+$", ""), _TAIL, "")
 
 
-def _lead(text: Column, words: int) -> Column:
-    """The first words as a key, digits made equal."""
-    return F.regexp_replace(F.regexp_extract(text, rf"^\s*(\S+(?:\s+\S+){{{words - 1}}})", 1), r"\d+", "0")
+def _plain_word(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[^\p{L}\p{N}€£$]+|[^\p{L}\p{N}]+$", "")
+
+
+def _ending(text: Column, pos: Column) -> Column:
+    """What tells a cut: struct(pos, size, sign, ended, word, first) with the last word and the first two.
+
+    ``size`` counts the whole text without trailing links and pictures. Signs and marks can only stand in the last 80 characters, a
+    link that follows them in the last 400; patterns are tried on those, and only on texts that don't end in a plain mark.
+    """
+
+    def as_told(end: Column, size: Column, sign: Column, ended: Column) -> Column:
+        word, first = F.substring_index(end, " ", -1), F.substring_index(F.ltrim(text), " ", 2)
+        return F.struct(pos.alias("pos"), size.cast("int").alias("size"), sign.alias("sign"), ended.alias("ended"), word.alias("word"), first.alias("first"))
+
+    def told(end: Column, cut_off: Column) -> Column:
+        link = end.rlike(_LINK)
+        return as_told(end, F.length(text) - cut_off + F.length(end), end.rlike(_SIGN) & ~link, end.rlike(_ENDED) | end.rlike(_SIGNED) | link)
+
+    plain_mark = F.right(text, F.lit(1)).isin(".", "!", "?") & ~F.endswith(text, F.lit("..."))
+    far = F.right(text, F.lit(400))
+    tail = F.when(far.contains("://"), far).otherwise(F.right(text, F.lit(80)))
+    return F.when(plain_mark, as_told(F.lit(""), F.length(text), F.lit(False), F.lit(True))).otherwise(let(tail, lambda t: let(_stripped(t), lambda end: told(end, F.length(t)))))
 
 
 def values_with_ends(items: DataFrame) -> DataFrame:
-    """(item_id, source_name, field, text, size, sign, ended): summaries, and the last running block of bodies.
+    """(item_id, source_name, field, pos, size, sign, ended, node, lead1, lead2): summaries, and the last running block of bodies.
 
-    Repeated lines of the source, headings, captions and lists don't count as running text.
+    Repeated lines of the source, headings, captions and lists don't count as running text. Texts are judged where they are
+    read; only what was found of each is shuffled to meet the repeated lines.
     """
     rows = items.withColumn("source_name", F.coalesce("source_name", F.lit("")))
-    gone = repeated_blocks(rows.select("item_id", "source_name", "blocks"), 10, 0.002).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))
-    both = rows.select("item_id", "source_name", "summary_text", "blocks").join(gone, "item_id", "left")
-    running = F.filter("blocks", lambda b: b.type.isin(*RUNNING) & ~F.coalesce(F.array_contains(F.col("gone"), b.pos), F.lit(False)) & F.coalesce(b.text.rlike(r"\S"), F.lit(False)))
-    body = F.element_at(F.transform(running, lambda b: b.text), -1)
-    fields = F.array(F.struct(F.lit("summary").alias("field"), F.col("summary_text").alias("text")), F.struct(F.lit("body").alias("field"), F.when(F.size(running) > 0, body).alias("text")))
-    long = both.select("item_id", "source_name", F.inline(fields)).filter(F.col("text").rlike(r"\S"))
-    at = long.withColumn("end", _stripped(F.col("text")))
-    sign = F.col("end").rlike(_SIGN) & ~F.col("end").rlike(_LINK)
-    return at.select("item_id", "source_name", "field", "text", F.length("end").alias("size"), "end", sign.alias("sign"), (F.col("end").rlike(_ENDED) | F.col("end").rlike(_SIGNED) | F.col("end").rlike(_LINK)).alias("ended"))
+    gone = repeated_blocks(rows.select("item_id", "source_name", "blocks"), 10, 0.002).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
+    running = F.filter(F.coalesce("blocks", F.array()), lambda b: b.type.isin(*RUNNING) & F.coalesce(b.text.rlike(r"\S"), F.lit(False)))
+    found = rows.select(
+        "item_id",
+        "source_name",
+        F.when(F.col("summary_text").rlike(r"\S"), _ending(F.col("summary_text"), F.lit(-1))).alias("summary"),
+        F.transform(running, lambda b: _ending(b.text, b.pos)).alias("ends"),
+    )
+    left = F.filter("ends", lambda e: ~F.coalesce(F.array_contains(F.col("gone"), e.pos), F.lit(False)))
+    body = found.join(gone, "item_id", "left").withColumn("body", F.try_element_at(left, F.lit(-1)))
+    fields = F.array(F.struct(F.lit("summary").alias("field"), F.col("summary").alias("e")), F.struct(F.lit("body").alias("field"), F.col("body").alias("e")))
+    ends = body.select("item_id", "source_name", F.inline(F.filter(fields, lambda f: f.e.isNotNull()))).select("item_id", "source_name", "field", "e.*")
+    leads = F.regexp_replace("first", r"\d+", "0")  # digits made equal
+    return ends.select("*", _plain_word(F.col("word")).alias("node"), F.substring_index(leads, " ", 1).alias("lead1"), leads.alias("lead2")).drop("word", "first")
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,10 +98,6 @@ def trie(vocabulary: DataFrame) -> DataFrame:
     return nodes.groupBy("x.node").agg(F.count_if("x.proper").alias("words"), F.sum(F.when(~F.col("x.proper"), F.col("n")).otherwise(0)).alias("here"))
 
 
-def _plain_word(word: Column) -> Column:
-    return F.regexp_replace(word, r"^[^\p{L}\p{N}€£$]+|[^\p{L}\p{N}]+$", "")
-
-
 def truncated(items: DataFrame, least_words: int = 2) -> DataFrame:
     """(item_id, source_name, field, evidence) of every summary and body that was cut; evidence is sign, word, length or sentence.
 
@@ -86,10 +109,9 @@ def truncated(items: DataFrame, least_words: int = 2) -> DataFrame:
     # known words: of running texts, blocks and summaries alike, over all items
     texts = items.select(F.explode(F.concat(F.array("summary_text"), F.coalesce(F.transform("blocks", lambda b: b.text), F.array()))).alias("text")).filter(F.col("text").isNotNull())
     words = texts.mapInPandas(count_words, "word string, n bigint").groupBy(_plain_word(F.col("word")).alias("word")).agg(F.sum("n").alias("n")).filter((F.col("n") >= least_words) & (F.col("word") != ""))
-    last = open_.select("item_id", "field", _plain_word(F.regexp_extract("end", r"(\S+)$", 1)).alias("node"))
     # only beginnings that are some text's last word matter: the trie's other branches are cut off before they are counted
     begins = words.withColumn("letter", F.substring("word", 1, 1))
-    wanted = last.filter("node <> ''").groupBy("node").agg(F.count("*").alias("uses"))
+    wanted = open_.filter("node <> ''").groupBy("node").agg(F.count("*").alias("uses"))
     branches = begins.join(bounded_broadcast(wanted.select(F.substring("node", 1, 1).alias("letter")).distinct()), "letter", "left_semi").select("word", "n")
     nodes = wanted.join(trie(branches), "node", "left").select("node", (F.coalesce(F.col("words"), F.lit(0)) > 0).alias("begins"), (F.coalesce(F.col("here"), F.lit(0)) > 0).alias("known"))
     # lengths at which a hundredth or more of the cut values of a field end: at most a hundred per field
@@ -97,14 +119,13 @@ def truncated(items: DataFrame, least_words: int = 2) -> DataFrame:
     limits = stopped.join(F.broadcast(stopped.groupBy("field").agg(F.greatest(F.lit(8), 0.01 * F.sum("n")).alias("least"))), "field").filter("n >= least").select("field", "size", F.lit(True).alias("limit"))
     # first words after which hardly any text ends with a mark; each has a ten-thousandth of the texts, so there are at most twenty thousand
     total = F.greatest(F.lit(5.0), F.lit(ends.count()) / 10_000)
-    leads = ends.select("sign", "ended", F.explode(F.array_distinct(F.array(_lead(F.col("text"), 1), _lead(F.col("text"), 2)))).alias("lead")).filter("lead <> ''")
+    leads = ends.select("sign", "ended", F.explode(F.array_distinct(F.array("lead1", "lead2"))).alias("lead")).filter("lead <> ''")
     habits = leads.groupBy("lead").agg(F.count("*").alias("n"), F.count_if(F.col("ended") | F.col("sign")).alias("marked")).filter((F.col("n") >= total) & (F.col("marked") < 0.3 * F.col("n"))).select("lead")
     judged = (
-        open_.withColumn("node", _plain_word(F.regexp_extract("end", r"(\S+)$", 1)))
-        .join(nodes, "node", "left")
+        open_.join(nodes, "node", "left")
         .join(F.broadcast(limits), ["field", "size"], "left")
-        .join(F.broadcast(habits.select(F.col("lead").alias("lead1"), F.lit(True).alias("habit1"))), _lead(F.col("text"), 1) == F.col("lead1"), "left")
-        .join(F.broadcast(habits.select(F.col("lead").alias("lead2"), F.lit(True).alias("habit2"))), _lead(F.col("text"), 2) == F.col("lead2"), "left")
+        .join(F.broadcast(habits.select(F.col("lead").alias("lead1"), F.lit(True).alias("habit1"))), "lead1", "left")
+        .join(F.broadcast(habits.select(F.col("lead").alias("lead2"), F.lit(True).alias("habit2"))), "lead2", "left")
     )
     caption = F.coalesce("habit1", "habit2", F.lit(False)) & (F.col("size") < 100)
     in_word = F.coalesce(F.col("begins") & ~F.col("known"), F.lit(False))
