@@ -25,9 +25,10 @@ RUNNING = ("paragraph", "blockquote")
 # Phrases of a link to the rest of a text.
 _MORE = "read more|read on|read the rest|continue reading|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo|читать далее|читать дальше"
 _TAIL = r"(?:\s+(?:https?://\S+|[\p{So}\x{fe0f}\x{200d}]+))+$"
-_SIGN = rf"(?i)(?:\[(?:…|\.{{3}})\]|…|\.{{3}}|[\[(]?(?:{_MORE})\b[^\p{{L}}]*)$"
-_LINK = rf"(?i)[.!?。．！？”»\"]\s+[\[(]?(?:{_MORE})\b[^\p{{L}}]*$"
-_SIGNED = r"[.!?。．！？…][\"”»“’)]*\s+[—–-]+\s*[^.!?]{1,40}$"
+_SIGN = rf"(?iu)(?:\[(?:…|\.{{3}})\]|…|\.{{3}}|[\[(]?(?:{_MORE})[^\p{{L}}]*)$"
+_LINK = rf"(?iu)[.!?。．！？”»\"]\s+[\[(]?(?:{_MORE})[^\p{{L}}]*$"
+# a dash, or what a wrong encoding made of it, and a short name after the last sentence
+_SIGNED = r"[.!?。．！？…][\"”»“’)]*\s+(?:[—–-]+\s*|[^\x{00}-\x{7f}\sЀ-ӿ]{3,9}\s+)[^.!?]{1,40}$"
 _ENDED = r"(?:[.!?。．！？…][\"'”»“’‘)\]）]*|[)\]）”»\"]|[.!?…][^\x{00}-\x{7f}\s]{1,8})$"
 
 
@@ -117,8 +118,8 @@ def truncated(items: DataFrame, least_words: int = 2) -> DataFrame:
     # lengths at which a hundredth or more of the cut values of a field end: at most a hundred per field
     stopped = ends.filter(F.col("sign") | ~F.col("ended")).groupBy("field", "size").agg(F.count("*").alias("n"))
     limits = stopped.join(F.broadcast(stopped.groupBy("field").agg(F.greatest(F.lit(8), 0.01 * F.sum("n")).alias("least"))), "field").filter("n >= least").select("field", "size", F.lit(True).alias("limit"))
-    # first words after which hardly any text ends with a mark; each has a ten-thousandth of the texts, so there are at most twenty thousand
-    total = F.greatest(F.lit(5.0), F.lit(ends.count()) / 10_000)
+    # first words after which hardly any text ends with a mark; each has a forty-thousandth of the texts, so there are at most eighty thousand
+    total = F.greatest(F.lit(5.0), F.lit(ends.count()) / 40_000)
     leads = ends.select("sign", "ended", F.explode(F.array_distinct(F.array("lead1", "lead2"))).alias("lead")).filter("lead <> ''")
     habits = leads.groupBy("lead").agg(F.count("*").alias("n"), F.count_if(F.col("ended") | F.col("sign")).alias("marked")).filter((F.col("n") >= total) & (F.col("marked") < 0.3 * F.col("n"))).select("lead")
     judged = (

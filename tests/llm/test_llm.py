@@ -163,6 +163,7 @@ def test_cut_texts(spark):
         1000: ("The public observatory questioned the recy", True), 1001: ("The old newsroom questioned the harbour in", True), 1002: ("The old newsroom questioned…", True),
         1003: ("The old newsroom questioned the [...]", True), 1004: ("The old newsroom Read more", True), 1005: (stock[0] + " https://x.example/live", False), 1006: (stock[1] + " 📷", False),
         1007: (stock[2] + " — the desk", False), 1008: ("He said: “We waited and waited…”", False), 1009: ("Photos: Westerpool at dawn", False), 1010: ("", False), 1011: (None, False), 1012: ("  ", False), 1013: (stock[0] + " Read more", False),
+        1014: ("The old newsroom Читать далее", True), 1015: (stock[1] + " Читать далее", False), 1016: (stock[1] + " â€“ PeÃ±a Larga", False), 1017: (stock[1] + " « The old newsroom questioned the harb", True),
     }
     rows += [item(k, summary=t, body=None) for k, (t, _) in cases.items()] + [item(2000, body=(stock[0], "The old theatre questioned the observ")), item(2001, body=None)]
     found = {(r.item_id, r.field) for r in truncation.truncated(spark.createDataFrame(rows, ITEMS)).collect()}
