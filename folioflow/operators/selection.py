@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.session import bounded_broadcast, table
+from folioflow.session import bounded_broadcast, cut, table
 
 DAY = 86_400
 
@@ -205,9 +205,11 @@ def next_unread(spark, sf_dir: str) -> DataFrame:
     feeds = table(spark, sf_dir, "feeds").select("feed_pos", "section")
     items = table(spark, sf_dir, "items").select("item_id", "feed_pos", "item_pos", "item_key", "published", "section").join(bounded_broadcast(section_order(feeds)), "section")
     stories = fair_budget(items, 200, 2, "feed_pos", "item_pos", "item_id").withColumn("pos", F.row_number().over(Window.orderBy("section_pos", "r")))
-    state = table(spark, sf_dir, "read_state").select("device", "item_key").distinct()
-    open_ = state.select("device").distinct().crossJoin(F.broadcast(stories.select("pos", "item_id", "item_key")))  # an edition has 200 stories
-    return open_.join(state, ["device", "item_key"], "left_anti").groupBy("device").agg(F.min(F.struct("pos", "item_id")).alias("x")).select("device", "x.pos", "x.item_id")
+    stories = cut(stories.select("pos", "item_id", "item_key"))  # an edition has 200 stories
+    state = table(spark, sf_dir, "read_state").select("device", "item_key")
+    read = state.join(F.broadcast(stories.select("pos", "item_key")), "item_key", "left").groupBy("device").agg(F.collect_set("pos").alias("read"))  # at most 200 places
+    first = read.select("device", F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(max(stories.count(), 1))), "read")).alias("pos"))
+    return first.join(F.broadcast(stories.select("pos", "item_id")), "pos").select("device", "pos", "item_id")
 
 
 NEXT_UNREAD_SQL = """
@@ -256,7 +258,8 @@ def compose_stats(spark, sf_dir: str) -> DataFrame:
     picked = edition(spark, sf_dir).select("item_id", "composed_pos").join(pages, "item_id")
     selected = picked.agg(F.count("*").alias("selected"), F.count_if(F.col("truncation") != "none").alias("selected_truncated"))
     published = page_budget(picked, 30, "composed_pos").agg(F.count("*").alias("published"), F.count_if(F.col("truncation") != "none").alias("published_truncated"), F.sum("page_count").cast("bigint").alias("pages"))
-    return counts.crossJoin(selected).crossJoin(published)  # one row each
+    whole = lambda one: one.select(F.struct("*")).scalar()  # noqa: E731  one row each
+    return spark.range(1).select(whole(counts).alias("c"), whole(selected).alias("s"), whole(published).alias("p")).select("c.*", "s.*", "p.*")
 
 
 COMPOSE_STATS_SQL = f"""
