@@ -22,7 +22,7 @@ from folioflow.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE = "doc_id bigint, piece int, tokens int, container_id int, capacity int, shard int"
+MOST_CONTAINERS = 1_000  # a stated set of capacities: every document is packed once for each
 PLACED = "container_id int, doc_id bigint, piece int, sequence bigint, offset int, tokens int"
 
 
@@ -113,11 +113,13 @@ def pack_documents(counts: DataFrame, containers: DataFrame, shard_rows: int = 5
     nothing. Offsets count tokens within the sequence. Pieces of a longer document are numbered from 0. Documents with the same id
     are packed each. Sequences are numbered without gaps within a shard; the number is unique for a container.
     """
-    capacities = containers.filter("capacity_tokens >= 1").select("container_id", F.col("capacity_tokens").cast("int").alias("capacity"))
+    stated = containers.filter("capacity_tokens >= 1").select("container_id", F.col("capacity_tokens").cast("int").alias("capacity")).limit(MOST_CONTAINERS + 1).collect()
+    if len(stated) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} containers")
     shards = max(1, -(-counts.count() // shard_rows))
     full = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("int")
-    # a stated set of a few capacities: every document is packed once for each
-    pieces = counts.join(F.broadcast(capacities)).select("doc_id", "tokens", "container_id", "capacity", F.posexplode(F.sequence(F.lit(1), full)).alias("piece", "_"))
+    each = F.array(*[F.struct(F.lit(r.container_id).cast("int").alias("container_id"), F.lit(r.capacity).alias("capacity")) for r in stated]) if stated else F.array().cast("array<struct<container_id int, capacity int>>")
+    pieces = counts.select("doc_id", "tokens", F.inline(each)).select("doc_id", "tokens", "container_id", "capacity", F.posexplode(F.sequence(F.lit(1), full)).alias("piece", "_"))
     sized = pieces.select("doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"), "container_id", "capacity", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
