@@ -160,6 +160,8 @@ def vote_alone(pairs: dict[str, int]):
                                 continue
                         else:
                             meant = text.translate(table)
+                            if 2 * sum(a != b for a, b in zip(text, meant, strict=True)) < sum(c > "\x7f" for c in text):
+                                continue  # most of the text has to be in the other encoding
                         usual[k] = round(_familiar(meant, pairs), 6) if len(meant) >= 8 else 0.0
                     best = max(usual.values(), default=0.0)
                     if best > seen + margin:
@@ -212,7 +214,7 @@ class Restorer:
                 again = {c for g in table for c in g} | {chr(b) for b in range(0x80, 0xA0)}  # what a second misreading starts from
                 table |= {g: c for c in again if (g := way.garble(c)) and g not in table}
                 table = {g: c for g, c in table.items() if len(g) > 1}
-                table |= {g[:-1] + " ": c for g, c in table.items() if g[-1] == "\xa0"}  # a no-break space often becomes a blank
+                table |= {g[:-1] + " ": c for g, c in table.items() if g[-1] == "\xa0" and g[0] < "\u0250"}  # a no-break space often becomes a blank
                 self.tables.append((name, table, self._pattern(table, True), self._pattern(table, False)))
             else:
                 controls = {g: c for g, c in table.items() if "\x80" <= g <= "\x9f"}
@@ -224,13 +226,13 @@ class Restorer:
 
     @staticmethod
     def _pattern(table: dict[str, str], sure: bool) -> re.Pattern:
-        """Any garbled sequence. To be ``sure``, those of Cyrillic letters have to come in twos, and none ends a capital's word.
+        """Any garbled sequence. To be ``sure``, those of or with Cyrillic letters have to come in twos, and none ends a capital's word.
 
         Every branch begins with a plain character: the search then looks for those only.
         """
         once, twice = defaultdict(list), defaultdict(list)
         for g, c in table.items():
-            (twice if sure and "\u0400" <= c <= "\u04ff" else once)[g[0]].append(g[1:])
+            (twice if sure and ("\u0400" <= c <= "\u04ff" or "\u0400" <= g[0] <= "\u04ff") else once)[g[0]].append(g[1:])
 
         def branches(leads: dict[str, list[str]], after: str = "") -> list[str]:
             out = []
@@ -302,7 +304,8 @@ class Restorer:
                 gained = self.known.get((name, word))
                 if gained is None:
                     total, k = self.gain(word, word.translate(letters))
-                    gained = self.known[name, word] = total if k >= 3 and total > 2.0 * k and total > 8 else 0.0
+                    most = 2 * sum(ord(c) in letters for c in word) >= sum(c > "\x7f" for c in word)
+                    gained = self.known[name, word] = total if most and k >= 3 and total > 2.0 * k and total > 8 else 0.0
                 if gained:
                     spans.append((m.start(), m.end(), gained))
             if spans and (best is None or sum(s[2] for s in spans) > best[0]):
