@@ -349,10 +349,19 @@ class Restorer:
         return (">".join(ways), now) if ways else None
 
 
+def count_all(values: DataFrame) -> DataFrame:
+    """(kind, key, form, n) over all values, materialised."""
+    counted = values.select("text").mapInPandas(count_forms, "kind string, key string, form string, n bigint")
+    return cut(counted.groupBy("kind", "key", "form").agg(F.sum("n").alias("n")))
+
+
 def learn(values: DataFrame, least_votes: int = 3, least_chars: int = 3) -> tuple[list[str], dict[str, int], dict[str, int]]:
     """(names of the learned ways, alphabet with counts, letter pairs with counts) from the ``text`` column of ``values``."""
-    counted = values.select("text").mapInPandas(count_forms, "kind string, key string, form string, n bigint")
-    forms = cut(counted.groupBy("kind", "key", "form").agg(F.sum("n").alias("n")))
+    return learn_from(count_all(values), least_votes, least_chars)
+
+
+def learn_from(forms: DataFrame, least_votes: int = 3, least_chars: int = 3) -> tuple[list[str], dict[str, int], dict[str, int]]:
+    """What :func:`learn` gives, from counted forms."""
     letters = forms.filter(F.col("kind").isin("char", "pair") & (F.col("n") >= least_chars)).select("kind", "form", "n").collect()
     alphabet = {r.form: r.n for r in letters if r.kind == "char" and not "\x80" <= r.form <= "\x9f" and r.form != "\ufffd"}
     usual = {r.form: r.n for r in letters if r.kind == "pair"}
@@ -389,10 +398,29 @@ def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int]
     return values.select(*[f"`{f.name}`" for f in extra]).filter((F.length("text") != F.octet_length("text")) & F.col("text").rlike(suspect)).mapInPandas(run, schema)
 
 
+def fill_lost(restored: DataFrame, forms: DataFrame, *key: str) -> DataFrame:
+    """``restored`` with words that lost characters (U+FFFD) replaced by their clean near-twin, where the corpus has one.
+
+    A twin has the same ASCII letters and its other characters at the same places; the most frequent one counts. ``key`` names the columns
+    that tell rows apart. Words without a twin keep U+FFFD.
+    """
+    hole, places = "\ufffd", lambda c: F.regexp_replace(c, r"[^\x{00}-\x{7f}]+", "#")
+    words = restored.filter(F.col("restored").contains(hole)).select(*key, F.explode(F.array_distinct(F.split("restored", r"\s+"))).alias("word")).filter(F.col("word").contains(hole))
+    wanted = words.select("word", places(F.col("word")).alias("places")).distinct()
+    clean = forms.filter((F.col("kind") == "word") & ~F.col("form").contains(hole)).select(places(F.col("form")).alias("places"), "form", "n")
+    twins = wanted.join(clean, "places").groupBy("word").agg(F.max_by("form", F.struct("n", "form")).alias("twin"))
+    swaps = words.join(twins, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "twin")).alias("_swaps"))  # at most the words of one value
+    filled = F.aggregate(F.coalesce("_swaps", F.array()), F.col("restored"), lambda t, s: F.replace(t, s.word, s.twin))
+    return restored.join(swaps, list(key), "left").withColumn("restored", filled).drop("_swaps")
+
+
 def p1_garbled(spark, sf_dir: str) -> DataFrame:
     """Garbled titles, authors and blocks with the restored text."""
-    return restore_encoding(values_of(spark.read.parquet(f"{sf_dir}/items.parquet"), author=True))
+    values = values_of(spark.read.parquet(f"{sf_dir}/items.parquet"), author=True)
+    forms = count_all(values)
+    return fill_lost(cut(restore_encoding(values, learn_from(forms))), forms, "item_id", "field", "pos")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return p1_garbled(spark, sf_dir).select("item_id", "field", "pos").distinct()
+    """The garbled values, whether or not they can be restored."""
+    return restore_encoding(values_of(spark.read.parquet(f"{sf_dir}/items.parquet"), author=True)).select("item_id", "field", "pos").distinct()

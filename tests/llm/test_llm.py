@@ -53,6 +53,13 @@ def test_ways_are_learned_and_undone(spark):
     assert set(got) == set(planted) | {30_000}
 
 
+def test_lost_characters_come_from_twins(spark):
+    df = spark.createDataFrame([(k, f"{n} spoke") for k, n in enumerate(NAMES * 3)] + [(100, "Pe\ufffda Larga, Zo\ufffd Bront\ufffd"), (101, "Unkn\ufffdwn")], "item_id int, text string")
+    forms = encoding.count_all(df)
+    got = {r.item_id: r.restored for r in encoding.fill_lost(encoding.restore_encoding(df, encoding.learn_from(forms)), forms, "item_id").collect()}
+    assert got == {100: "Peña Larga, Zo\ufffd Brontë", 101: "Unkn\ufffdwn"}
+
+
 def test_encoding_of_nothing(spark):
     assert encoding.restore_encoding(spark.createDataFrame([], "text string")).count() == 0
     values = values_of(spark.createDataFrame([item(1, body=None), item(2, title="t", author="", body=("b", ""))], ITEMS), author=True)
