@@ -30,7 +30,7 @@ def truncation(blocks: Column, content_source: Column, size: Column, link: Colum
     The phrases of a link to the rest are looked for in the last 120 bytes.
     """
     count = F.coalesce(F.size(blocks), F.lit(0))
-    last = F.element_at(F.filter(blocks, lambda b: b.text != ""), -1).text
+    last = F.try_element_at(F.filter(blocks, lambda b: b.text != ""), F.lit(-1)).text
     tail = _tail_bytes(last)
     more = F.lit(False)
     for phrase in MORE:

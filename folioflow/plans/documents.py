@@ -51,7 +51,7 @@ def _documents(spark, sf_dir: str) -> DataFrame:
 
 def feed_parse(spark, sf_dir: str) -> DataFrame:
     """Items that were written as RSS and read again."""
-    read = feed_items(_documents(spark, sf_dir), "xml").select("item_id", "feed.format", F.col("feed.items")[0].alias("i"))
+    read = feed_items(_documents(spark, sf_dir), "xml").select("item_id", "feed.format", F.get(F.col("feed.items"), 0).alias("i"))
     return read.select("item_id", "format", "i.guid", "i.link", "i.published_raw", "i.content_source", "i.text_bytes")
 
 
@@ -65,7 +65,7 @@ select item_id, 'rss' as format, case when not gone then coalesce(g, '') end as
 
 def parse_report(spark, sf_dir: str) -> DataFrame:
     """Files, items and their kinds of body over all feed documents."""
-    read = feed_items(_documents(spark, sf_dir), "xml").select("feed.format", "feed.items_seen", F.size("feed.items").alias("n"), F.col("feed.items")[0].alias("i"))
+    read = feed_items(_documents(spark, sf_dir), "xml").select("feed.format", "feed.items_seen", F.size("feed.items").alias("n"), F.get(F.col("feed.items"), 0).alias("i"))
     return read.groupBy("format").agg(F.count("*").alias("files"), F.sum("items_seen").alias("seen"), F.sum("n").alias("items"), F.count_if(F.col("i.content_source") == "summary").alias("summaries"))
 
 

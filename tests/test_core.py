@@ -103,7 +103,7 @@ def test_truncation_cases(spark):
     assert reason([]) == reason(None) == reason([block("a")], "summary") == "summary-only"
     assert reason([block(long + "…")]) == reason([block(long + "..."), block("")]) == "ellipsis-tail"
     assert reason([block(long + "Read MORE")]) == reason([block("é" * 300 + " [...]. " + "é" * 20)]) == "read-more-link"
-    assert reason([block("read on " + long)]) == "none"
+    assert reason([block("read on " + long)]) == "none" and reason([block(""), block("")]) == "very-short"
     assert reason([block("short")]) == "very-short" and reason([block("short")], link="") == "none"
 
 
