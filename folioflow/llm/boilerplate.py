@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.session import bounded_broadcast, cut
@@ -56,12 +56,12 @@ def chunks_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return line[first], _mixed(sums + (last - first).astype(np.uint64)).view(np.int64)
 
 
-def lines_of(items: DataFrame) -> DataFrame:
-    """(item_id, source_name, poses, lines) with the lower-case letters of each block; blocks without letters are left out."""
+def lines_of(items: DataFrame, *keep: str) -> DataFrame:
+    """(item_id, source_name, ``keep``, poses, lines) with the lower-case letters of each block; blocks without letters are left out."""
     pairs = F.transform("blocks", lambda b: F.struct(b.pos.cast("int").alias("pos"), F.regexp_replace(F.lower(b.text), r"[^\p{L}]+", "").alias("line")))
     kept = F.filter(pairs, lambda p: p.line != "")
-    rows = items.filter(F.col("source_name").isNotNull()).select("item_id", "source_name", kept.alias("kept"))
-    return rows.select("item_id", "source_name", F.col("kept.pos").alias("poses"), F.col("kept.line").alias("lines"))
+    rows = items.filter(F.col("source_name").isNotNull()).select("item_id", "source_name", *keep, kept.alias("kept"))
+    return rows.select("item_id", "source_name", *keep, F.col("kept.pos").alias("poses"), F.col("kept.line").alias("lines"))
 
 
 def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -83,7 +83,7 @@ def count_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def block_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(item_id, source_name, pos, line, chunks) per block; ``line`` is the digest of its letters."""
+    """(item_id, source_name, pos, line, chunks) per block, and its ``story`` if rows have one; ``line`` is the digest of its letters."""
     for batch in batches:
         row, lines = _flat(batch)
         line, chunk = chunks_of(lines)
@@ -95,27 +95,34 @@ def block_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "pos": np.array([p for x in batch["poses"] for p in (() if x is None else x)], np.int32),
                 "line": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in lines],
                 "chunks": [np.unique(chunk[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+                **({"story": batch["story"].to_numpy()[row]} if "story" in batch else {}),
             }
         )
 
 
-def repeated_blocks(items: DataFrame, least_rows: int = 10, least_share: float = 0.05) -> DataFrame:
+def repeated_blocks(items: DataFrame, least_rows: int = 10, least_share: float = 0.05, story: Column | None = None) -> DataFrame:
     """(source_name, item_id, pos): blocks whose line occurs in at least ``least_rows`` rows and ``least_share`` of the rows of its source.
 
     Lines are equal when their letters are, without regard to case. Rows without a source, null blocks and blocks without letters
     never count as cases, but rows without blocks count into the share. The same line twice in an item counts once, both
-    blocks are cases. An empty table gives an empty result. Extra columns are ignored.
+    blocks are cases. With ``story``, a bigint that copies of a story share, distinct stories are counted in place of rows. An
+    empty table gives an empty result. Extra columns are ignored.
     """
-    lines = lines_of(items)
-    totals = bounded_broadcast(items.filter(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.greatest(F.lit(float(least_rows)), least_share * F.count("*")).alias("least")))
+    keep = () if story is None else ("story",)
+    rows = items.select("item_id", "source_name", "blocks", *(() if story is None else (story.alias("story"),)))
+    lines = lines_of(rows, *keep)
+    named = rows.filter(F.col("source_name").isNotNull()).select("source_name", *keep)
+    totals = bounded_broadcast((named.distinct() if keep else named).groupBy("source_name").agg(F.greatest(F.lit(float(least_rows)), least_share * F.count("*")).alias("least")))
+    # documents are no fewer than stories, so what is excessive by stories is excessive here
     counted = lines.select("source_name", "lines").mapInPandas(count_chunks, "source_name string, chunk bigint, docs bigint").groupBy("source_name", "chunk").agg(F.sum("docs").alias("docs"))
     # each needs a share of its source's documents, so a source has at most (chunks per document / share) of them
     excessive = bounded_broadcast(counted.join(totals, "source_name").filter("docs >= least - 1e-9").select("source_name", F.col("chunk").alias("each")), 1_000_000)
-    blocks = lines.mapInPandas(block_chunks, "item_id bigint, source_name string, pos int, line binary, chunks array<bigint>")
-    hits = blocks.select("item_id", "source_name", "pos", "line", F.size("chunks").alias("of"), F.explode("chunks").alias("each")).join(excessive, ["source_name", "each"])
-    candidates = cut(hits.groupBy("item_id", "source_name", "pos", "line", "of").agg(F.count("*").alias("n")).filter("n = of").select("item_id", "source_name", "pos", "line"))
-    rows = candidates.select("source_name", "line", "item_id").distinct().groupBy("source_name", "line").agg(F.count("*").alias("rows"))
-    sure = rows.join(totals, "source_name").filter("rows >= least - 1e-9").select("source_name", "line")
+    blocks = lines.mapInPandas(block_chunks, "item_id bigint, source_name string, pos int, line binary, chunks array<bigint>" + (", story bigint" if keep else ""))
+    block = ("item_id", "source_name", "pos", "line", *keep)
+    hits = blocks.select(*block, F.size("chunks").alias("of"), F.explode("chunks").alias("each")).join(excessive, ["source_name", "each"])
+    candidates = cut(hits.groupBy(*block, "of").agg(F.count("*").alias("n")).filter("n = of").select(*block))
+    seen = candidates.select("source_name", "line", *(keep or ("item_id",))).distinct().groupBy("source_name", "line").agg(F.count("*").alias("rows"))
+    sure = seen.join(totals, "source_name").filter("rows >= least - 1e-9").select("source_name", "line")
     return candidates.join(bounded_broadcast(sure, 1_000_000), ["source_name", "line"], "left_semi").select("source_name", "item_id", "pos")
 
 

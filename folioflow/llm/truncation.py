@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.datetimes import let
 from folioflow.llm.boilerplate import repeated_blocks
+from folioflow.llm.duplicates import record_key
 from folioflow.session import bounded_broadcast, cut
 
 RUNNING = ("paragraph", "blockquote")
@@ -61,14 +62,20 @@ def _ending(text: Column, pos: Column) -> Column:
     return F.when(plain_mark, as_told(F.lit(""), F.length(text), F.lit(False), F.lit(True))).otherwise(let(tail, lambda t: let(_stripped(t), lambda end: told(end, F.length(t)))))
 
 
+def story_of(items: DataFrame) -> Column:
+    """A number that the copies of a story share, by problem 2's key; a row without guid, link and title is a story of its own."""
+    parts = [F.col(c) if c in items.columns else F.lit(None).cast("string") for c in ("guid", "link", "title")]
+    return F.when(F.coalesce(*parts).isNull(), F.xxhash64("item_id")).otherwise(F.xxhash64(record_key(*parts)))
+
+
 def values_with_ends(items: DataFrame) -> DataFrame:
     """(item_id, source_name, field, pos, size, sign, ended, node, lead1, lead2): summaries, and the last running block of bodies.
 
-    Repeated lines of the source, headings, captions and lists don't count as running text. Texts are judged where they are
-    read; only what was found of each is shuffled to meet the repeated lines.
+    Repeated lines of the source, headings, captions and lists don't count as running text; lines are counted by distinct stories, as a
+    story that is delivered often repeats its own text. Texts are judged where they are read; only what was found of each is shuffled to meet the repeated lines.
     """
     rows = items.withColumn("source_name", F.coalesce("source_name", F.lit("")))
-    gone = repeated_blocks(rows.select("item_id", "source_name", "blocks"), 10, 0.002).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
+    gone = repeated_blocks(rows, 10, 0.002, story_of(rows)).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
     running = F.filter(F.coalesce("blocks", F.array()), lambda b: b.type.isin(*RUNNING) & F.coalesce(b.text.rlike(r"\S"), F.lit(False)))
     found = rows.select(
         "item_id",
@@ -136,7 +143,7 @@ def truncated(items: DataFrame, least_words: int = 2) -> DataFrame:
 
 
 def _items(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/items.parquet").select("item_id", "source_name", "summary_text", "blocks")
+    return spark.read.parquet(f"{sf_dir}/items.parquet").select("item_id", "source_name", "guid", "link", "title", "summary_text", "blocks")
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

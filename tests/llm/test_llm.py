@@ -178,6 +178,14 @@ def test_cut_texts(spark):
     assert truncation.truncated(spark.createDataFrame([], ITEMS)).count() == 0
 
 
+def test_copies_of_a_story_are_no_repeated_lines(spark):
+    stock = [f"The {a} {b} questioned the {c} in Westerpool before the winter break." for a in ("old", "new", "public") for b in ("newsroom", "theatre", "observatory") for c in ("recycling", "harbour", "cooperative")]
+    rows = [item(k, title=f"Story {k}", body=(f"Number {'x' * k} of the day was drawn.", stock[k % 27], "By the news desk of Westerpool and its harbour")) for k in range(60)]
+    rows += [item(100 + k, title="Hot  story!" if k % 2 else "hot story", body=("A whole paragraph comes first in this one.", "The old theatre questioned the observ", "By the news desk of Westerpool and its harbour")) for k in range(40)]
+    found = {(r.item_id, r.field) for r in truncation.truncated(spark.createDataFrame(rows, ITEMS)).collect()}
+    assert found == {(100 + k, "body") for k in range(40)}
+
+
 def test_trie_counts_beginnings(spark):
     nodes = {r.node: (r["words"], r.here) for r in truncation.trie(spark.createDataFrame([("car", 2), ("cart", 3)], "word string, n bigint")).collect()}
     assert nodes["ca"] == (2, 0) and nodes["car"] == (1, 2) and nodes["cart"] == (0, 3)
