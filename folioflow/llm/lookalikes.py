@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from folioflow.llm import encoding
 from folioflow.llm.fields import values_of, with_texts
+from folioflow.session import bounded_broadcast, cut
 
 # Letters of other scripts, and the Latin letters they look like.
 _CYRILLIC = "аеорсухѕіјһԁԛԝӏѵёїАВЕЅІЈКМНОРСТУХҮԌЁЇ"
@@ -45,7 +46,9 @@ _ODD = (
     rf"(?=[^\x{{00}}-\x{{7f}}])(?:[{_HIDDEN}{_SPACES}\x{{300}}-\x{{36f}}\x{{ff01}}-\x{{ffee}}\x{{fb00}}-\x{{fb06}}\x{{2160}}-\x{{217f}}\x{{2126}}\x{{212a}}\x{{212b}}\x{{37e}}\x{{387}}\x{{1d400}}-\x{{1d7ff}}]"
     r"|[Ͱ-ϿЀ-ԯա-ևɑɡ](?:[a-zA-ZÀ-ɏ]|(?<=[a-zA-ZÀ-ɏ].)))"
 )
-_LONELY = rf"(?=[^\x{{00}}-\x{{7f}}])[{_CYRILLIC}{_GREEK}](?<!\p{{L}}.)[{_CYRILLIC}{_GREEK}]{{0,2}}(?!\p{{L}})"
+_LONELY = rf"(?=[^\x{{00}}-\x{{7f}}])[{_CYRILLIC}{_GREEK}](?<!\p{{L}}.)[{_CYRILLIC}{_GREEK}]*(?!\p{{L}})"
+# Letters of these scripts that look like no Latin one: a text that holds one has words of another script.
+_OWN = rf"[\x{{370}}-\x{{3ff}}\x{{400}}-\x{{52f}}&&\p{{L}}&&[^{_CYRILLIC}{_GREEK}]]"
 
 
 def suspect(text: Column) -> Column:
@@ -94,18 +97,32 @@ def _foreign(word: str) -> dict[str, str]:
     return {}
 
 
-def _lonely(text: str, words: list[str]) -> dict[str, str]:
-    """Short words wholly of look-alikes in a text whose other words are Latin."""
+def _stand_ins(words: list[str]) -> tuple[list[str], int]:
+    """Words wholly of look-alikes, and the letters of the Latin words beside them; no words where others are of another script."""
     latin = sum(len(w) for w in words if all(_script(c) == "latin" for c in w if _LETTER.match(c)))
     odd = [w for w in words if any(_script(c) in ("cyrillic", "greek") for c in w)]
     whole = [w for w in odd if all(c in TO_LATIN for c in w)]
-    if not whole or len(odd) != len(whole) + sum(bool(_foreign(w)) for w in odd) or latin < 4 * sum(map(len, whole)):
-        return {}
-    return {w: "".join(TO_LATIN[c] for c in w) for w in whole if len(w) <= 3}
+    if len(odd) != len(whole) + sum(bool(_foreign(w)) for w in odd):
+        return [], latin
+    return whole, latin
+
+
+def _latin(word: str) -> str:
+    return "".join(TO_LATIN[c] for c in word)
+
+
+def _lonely(text: str, words: list[str], twins: frozenset[str] = frozenset()) -> dict[str, str]:
+    """Words wholly of look-alikes in a text whose other words are Latin: short ones, and longer ones of ``twins``."""
+    whole, latin = _stand_ins(words)
+    size = sum(map(len, whole))
+    return {w: _latin(w) for w in whole if len(w) <= 3 and latin >= 4 * size or w in twins and latin >= size}
+
 
+def plain(text: str, twins: frozenset[str] = frozenset()) -> str:
+    """The consistent form of a text: everything that only looks like an ordinary character is that character.
 
-def plain(text: str) -> str:
-    """The consistent form of a text: everything that only looks like an ordinary character is that character."""
+    ``twins`` are longer words wholly of look-alikes whose Latin form the corpus knows.
+    """
     out, n = [], len(text)
     for i, c in enumerate(text):
         if c.isascii():
@@ -126,16 +143,44 @@ def plain(text: str) -> str:
     composed = unicodedata.normalize("NFC", now)
     words = _WORD.findall(composed)
     swaps = {w: w.translate(str.maketrans(t)) for w in set(words) if not w.isascii() and (t := _foreign(w))}
-    swaps |= _lonely(composed, words)
+    swaps |= _lonely(composed, words, twins)
     return _WORD.sub(lambda m: swaps.get(m.group(), m.group()), composed) if swaps else composed
 
 
-def unify(values: DataFrame, learned: tuple | None = None, keep_garbled: bool = False) -> DataFrame:
+def whole_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, latin): words of four or more letters wholly of look-alikes in texts that are Latin else, with their Latin form."""
+    for batch in batches:
+        found = set()
+        for text in batch["text"]:
+            whole, latin = _stand_ins(_WORD.findall(unicodedata.normalize("NFC", text)))
+            found.update(w for w in whole if len(w) > 3 and latin >= sum(map(len, whole)))
+        yield with_texts(pd.DataFrame(index=range(len(found))), word=(words := sorted(found)), latin=[_latin(w) for w in words])
+
+
+def twins_of(values: DataFrame) -> frozenset[str]:
+    """Words wholly of look-alikes that share their skeleton with a Latin word of the corpus.
+
+    Words of texts in their own script don't count, unless the Latin form is the more frequent one. The corpus is searched only
+    for the forms of such words, and not at all where there is none.
+    """
+    long = rf"(?=[^\x{{00}}-\x{{7f}}])[{_CYRILLIC}{_GREEK}](?<!\p{{L}}.)[{_CYRILLIC}{_GREEK}]{{3,}}(?!\p{{L}})"
+    text = F.col("text")
+    odd = values.select("text").filter((F.length(text) != F.octet_length(text)) & text.rlike(long) & text.rlike("[a-zA-Z]{3}"))
+    words = cut(odd.mapInPandas(whole_words, "word string, latin string").distinct())
+    if words.isEmpty():
+        return frozenset()
+    forms = words.select("word", F.explode(F.array(F.struct(F.col("word").alias("form"), F.lit(True).alias("own")), F.struct(F.col("latin").alias("form"), F.lit(False).alias("own")))).alias("f")).select("word", "f.*")
+    each = values.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("form"), ((F.length(text) != F.octet_length(text)) & text.rlike(_OWN)).alias("other"))
+    used = each.join(bounded_broadcast(forms), "form").groupBy("word").agg(F.count_if(~F.col("own")).alias("clean"), F.count_if(F.col("own") & F.col("other")).alias("abroad"))
+    return frozenset(r.word for r in used.filter("clean > abroad").select("word").collect())  # distinct words, not rows
+
+
+def unify(values: DataFrame, learned: tuple | None = None, keep_garbled: bool = False, twins: frozenset[str] = frozenset()) -> DataFrame:
     """Rows of ``values`` that aren't in plain form, with ``plain`` and ``skeleton`` added.
 
     ``values`` has a ``text`` column; null and empty texts are in plain form. Other columns pass through (``plain`` and
     ``skeleton`` are replaced), repeated rows stay repeated. Texts that were decoded with a wrong encoding, as far as
-    ``learned`` tells, are left out unless ``keep_garbled``: their odd characters are not look-alikes.
+    ``learned`` tells, are left out unless ``keep_garbled``: their odd characters are not look-alikes. ``twins`` as in ``plain``.
     """
     fields = [f for f in values.schema.fields if f.name not in ("plain", "skeleton")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", plain string, skeleton string"
@@ -143,7 +188,7 @@ def unify(values: DataFrame, learned: tuple | None = None, keep_garbled: bool =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         garbled = encoding.Restorer(*learned).restore if learned and not keep_garbled else lambda _: None
         for batch in batches:
-            done = [plain(t) for t in batch["text"]]
+            done = [plain(t, twins) for t in batch["text"]]
             odd = [p != t and garbled(t) is None for p, t in zip(done, batch["text"], strict=True)]
             hit = batch[odd]
             yield with_texts(hit, plain=[p for p, o in zip(done, odd, strict=True) if o], skeleton=[skeleton(t) for t in hit["text"]])
@@ -173,7 +218,7 @@ def look_alike_groups(values: DataFrame) -> DataFrame:
 def p3_unified(spark, sf_dir: str) -> DataFrame:
     """Titles and blocks that hold stand-ins or hidden characters, with their consistent form and skeleton."""
     values = values_of(spark.read.parquet(f"{sf_dir}/items.parquet"))
-    return unify(values, encoding.learn(values))
+    return unify(values, encoding.learn(values), twins=twins_of(values))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -123,6 +123,14 @@ def test_unify_and_groups(spark):
     assert lookalikes.unify(df.filter("id < 0")).count() == 0
 
 
+def test_whole_words_of_stand_ins_have_a_clean_twin(spark):
+    texts = ["Officials соре with the winter storm", "They cope well", "The СССР hockey shirt was sold", "Новый отчёт: соха и сосна", "A соха from the north was shown", "A long paper", "хохо", "Рорсоrn and sweets"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    found = {r.id: r.plain for r in lookalikes.unify(df, twins=lookalikes.twins_of(df)).collect()}
+    assert found == {0: "Officials cope with the winter storm", 7: "Popcorn and sweets"}
+    assert lookalikes.twins_of(df.filter("id = 1")) == frozenset()
+
+
 # ------------------------------------------------------------------ 4 repeated lines
 
 
