@@ -226,5 +226,5 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark, sf_dir: str) -> DataFrame:
-    """Titles that look alike though their characters differ."""
-    return look_alike_groups(values_of(spark.read.parquet(f"{sf_dir}/items.parquet")).filter("field = 'title'"))
+    """Titles and blocks that look alike though their characters differ."""
+    return look_alike_groups(values_of(spark.read.parquet(f"{sf_dir}/items.parquet")))

@@ -131,6 +131,12 @@ def test_whole_words_of_stand_ins_have_a_clean_twin(spark):
     assert lookalikes.twins_of(df.filter("id = 1")) == frozenset()
 
 
+def test_groups_hold_blocks(spark, tmp_path):
+    rows = [item(1, title="A farm", body=("The fаrm is old", None)), item(2, title="The farm is old", body=("Alone",))]
+    spark.createDataFrame(rows, ITEMS).write.parquet(f"{tmp_path}/items.parquet")
+    assert [tuple(r) for r in lookalikes.p3_groups(spark, str(tmp_path)).collect()] == [("The farm is old", 2, 2)]
+
+
 # ------------------------------------------------------------------ 4 repeated lines
 
 
