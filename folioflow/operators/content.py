@@ -192,6 +192,11 @@ select doc_id, strlen(text)::int as bytes, length(regexp_replace(text, '^[ \t\n\
   translate(left(text, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as head from documents"""
 
 
+def string_lowered(spark, sf_dir: str) -> DataFrame:
+    """Every document with its whole text in ASCII lower case; ``string_normalise`` gives and compares the first 40 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", ascii_lower(F.col("text")).alias("lowered"))
+
+
 def url_split(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "items").select("item_id", url_parts(trim_ws(F.col("link"))).alias("u")).select("item_id", "u.*")
 
@@ -268,6 +273,7 @@ QUERIES = {
     "extract_article": (extract_article, EXTRACT_ARTICLE_SQL),
     "article_enrich": (article_enrich, ARTICLE_ENRICH_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL),
+    "string_lowered": (string_lowered, None),
     "string_normalise": (string_normalise, STRING_NORMALISE_SQL),
     "url_parts": (url_split, URL_SPLIT_SQL),
     "url_resolve": (url_resolve, URL_RESOLVE_SQL),

@@ -34,6 +34,12 @@ p as (select doc_id, unnest(range(0, len(b)))::int as pos, unnest(b) as t, len(b
 select doc_id, pos, case when pos = 0 then 'list-item' else 'paragraph' end as type, case when pos = 0 then 1 else 0 end as level, rtrim(left(t, 200), chr(0)) as head from p where pos < 600"""
 
 
+def html_block_texts(spark, sf_dir: str) -> DataFrame:
+    """Blocks of every page with their whole text, of which the reader keeps 8,192 bytes; ``html_blocks`` gives and compares the first 200 characters."""
+    blocks = _pages(spark, sf_dir).select("doc_id", F.explode(html_to_blocks(F.col("page"))).alias("b"))
+    return blocks.select("doc_id", "b.pos", "b.type", "b.level", "b.text")
+
+
 def page_article(spark, sf_dir: str) -> DataFrame:
     """The article run of every page, without its navigation and footer."""
     rows = _pages(spark, sf_dir).select("doc_id", html_to_blocks(F.col("page")).alias("blocks"))
@@ -86,6 +92,7 @@ OPML_MERGE_SQL = "select url, source_name as title, section from feeds"
 
 QUERIES = {
     "html_blocks": (html_blocks, HTML_BLOCKS_SQL),
+    "html_block_texts": (html_block_texts, None),
     "page_article": (page_article, None),
     "feed_parse": (feed_parse, FEED_PARSE_SQL),
     "parse_report": (parse_report, PARSE_REPORT_SQL),

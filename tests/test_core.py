@@ -149,6 +149,18 @@ def test_html_runs_are_bytes_and_caps_hold():
     assert len(html.html_blocks("<p>" + "é" * 9000)[0]["text"].encode()) == html.MAX_BLOCK_BYTES
 
 
+def test_whole_texts_come_back(spark, tmp_path):
+    import __spark_entry__ as e
+
+    texts = ["Short\n" + "Long line É & <tag>. " * 40 + "end", "x" + "é" * 9000, "A\n\n  b  "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda t: t.encode()[: html.MAX_BLOCK_BYTES].decode(errors="ignore")
+    want = {(k, n, cut(line)) for k, t in enumerate(texts) for n, line in enumerate(["Home", *filter(None, (" ".join(x.split()) for x in t.split("\n"))), "© 2026"])}
+    assert {(r.doc_id, r.pos, r.text) for r in e.queries()["html_block_texts"](spark, str(tmp_path)).collect()} == want
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert {(r.doc_id, r.lowered) for r in e.queries()["string_lowered"](spark, str(tmp_path)).collect()} == {(k, t.translate(lower)) for k, t in enumerate(texts)}
+
+
 RSS = """<?xml version="1.0"?><rss><channel><title>The &amp; Feed</title><image><title>no</title></image>
 <item><title><![CDATA[A <b>bold</b> &#8217; title]]></title><description>&lt;p&gt;short&lt;/p&gt;</description><content:encoded><![CDATA[<p>long text</p>]]></content:encoded>
 <media:title>no</media:title><author>ed@x.example (Ed B)</author><pubDate>Tue, 04 Nov 2025 11:00:00 GMT</pubDate><guid>g1</guid><link>https://x.example/1</link></item>
