@@ -149,7 +149,7 @@ select r.* from r where exists (select 1 from s where s.item_id = r.item_id and
 
 
 def article_enrich(spark, sf_dir: str) -> DataFrame:
-    """The newest truncated items with a link get the document of that address, if one was crawled; looked up after the cut."""
+    """The newest truncated items with a link get the number of documents and the last crawl of their source; ``article_documents`` looks links up."""
     items = table(spark, sf_dir, "items").filter((F.col("truncation") != "none") & (F.col("link") != "")).select("item_id", "link", "published", "source_name")
     top = items.orderBy(F.col("published").desc_nulls_last(), "item_id").limit(500)
     documents = table(spark, sf_dir, "documents").select("source", "n_chars", "crawled_at")
@@ -163,6 +163,20 @@ d as (select source, count(*) as documents, max(crawled_at) as crawled_at from d
 select t.*, documents, crawled_at from t left join d on source = source_name"""
 
 
+def _address(url: Column) -> Column:
+    """The address without fragment, with scheme, host and port made equal; null for what is none."""
+    parts = url_parts(trim_ws(F.regexp_replace(url, r"(?s)#.*$", "")))
+    return F.when(parts.host.isNotNull(), F.concat_ws(" ", parts.secure.cast("string"), parts.host, parts.port.cast("string"), parts.path))
+
+
+def article_documents(spark, sf_dir: str) -> DataFrame:
+    """Every truncated item with a link, with the latest crawled document of that address, if there is one."""
+    items = table(spark, sf_dir, "items").filter((F.col("truncation") != "none") & (F.col("link") != "")).select("item_id", "link", "published", _address(F.col("link")).alias("address"))
+    documents = table(spark, sf_dir, "documents").select(_address(F.col("url")).alias("address"), "doc_id", "crawled_at").filter("address is not null")
+    latest = documents.groupBy("address").agg(F.max(F.struct("crawled_at", "doc_id")).alias("d"))
+    return items.join(latest, "address", "left").select("item_id", "link", "published", "d.doc_id", "d.crawled_at")
+
+
 def item_text(spark, sf_dir: str) -> DataFrame:
     """Author, byline and collapsed title of every item."""
     items = table(spark, sf_dir, "items")
@@ -271,6 +285,7 @@ QUERIES = {
     "truncation_report": (truncation_report, TRUNCATION_REPORT_SQL),
     "text_to_blocks": (document_blocks, DOCUMENT_BLOCKS_SQL),
     "extract_article": (extract_article, EXTRACT_ARTICLE_SQL),
+    "article_documents": (article_documents, None),
     "article_enrich": (article_enrich, ARTICLE_ENRICH_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL),
     "string_lowered": (string_lowered, None),

@@ -161,6 +161,16 @@ def test_whole_texts_come_back(spark, tmp_path):
     assert {(r.doc_id, r.lowered) for r in e.queries()["string_lowered"](spark, str(tmp_path)).collect()} == {(k, t.translate(lower)) for k, t in enumerate(texts)}
 
 
+def test_links_find_their_latest_document(spark, tmp_path):
+    import __spark_entry__ as e
+
+    links = [(1, "HTTPS://A.example/x#top"), (2, "https://a.example/y"), (3, "none"), (4, " http://a.example/x")]
+    spark.createDataFrame([(k, x, datetime(2026, 1, k), "cut") for k, x in links], "item_id bigint, link string, published timestamp_ntz, truncation string").write.parquet(f"{tmp_path}/items.parquet")
+    pages = [(7, "https://a.example:443/x", datetime(2026, 2, 1)), (8, "https://a.example/x", datetime(2026, 2, 2)), (9, "https://a.example/z", datetime(2026, 2, 3)), (10, None, None)]
+    spark.createDataFrame(pages, "doc_id bigint, url string, crawled_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.item_id, r.doc_id) for r in e.queries()["article_documents"](spark, str(tmp_path)).collect()} == {(1, 8), (2, None), (3, None), (4, None)}
+
+
 RSS = """<?xml version="1.0"?><rss><channel><title>The &amp; Feed</title><image><title>no</title></image>
 <item><title><![CDATA[A <b>bold</b> &#8217; title]]></title><description>&lt;p&gt;short&lt;/p&gt;</description><content:encoded><![CDATA[<p>long text</p>]]></content:encoded>
 <media:title>no</media:title><author>ed@x.example (Ed B)</author><pubDate>Tue, 04 Nov 2025 11:00:00 GMT</pubDate><guid>g1</guid><link>https://x.example/1</link></item>
