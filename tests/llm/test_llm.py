@@ -200,9 +200,51 @@ def test_copies_of_a_story_are_no_repeated_lines(spark):
     assert found == {(100 + k, "body") for k in range(40)}
 
 
-def test_trie_counts_beginnings(spark):
-    nodes = {r.node: (r["words"], r.here) for r in truncation.trie(spark.createDataFrame([("car", 2), ("cart", 3)], "word string, n bigint")).collect()}
-    assert nodes["ca"] == (2, 0) and nodes["car"] == (1, 2) and nodes["cart"] == (0, 3)
+def stock_items():
+    return [f"The {a} {b} questioned the {c} in Westerpool before the winter break." for a in ("old", "new", "public") for b in ("newsroom", "theatre", "observatory") for c in ("recycling", "harbour", "cooperative")]
+
+
+def evidence_of(spark, rows, **how):
+    return {(r.item_id, r.field): r.evidence for r in truncation.truncated(spark.createDataFrame(rows, ITEMS + ", text_bytes bigint, truncation string"), **how).collect()}
+
+
+def test_ends_without_a_mark_need_evidence(spark):
+    """The trie alone tells a cut word; a complete text without a mark isn't one; without the trie its rows are gone."""
+    row = lambda *a, size=0, hint="none", **k: (*item(*a, **k), size, hint)
+    rows = [row(k, summary=t, body=(t,)) for k, t in enumerate(stock_items() * 3)]
+    rows += [row(500, summary="Nobody asked the observ", body=None), row(501, summary="Nobody asked the observatory", body=None), row(502, summary="Zzz unheard qqq", body=None)]
+    rows += [row(503, body=("Nobody asked the observatory",), size=900), row(504, body=("Nobody asked the theatre",), hint="ellipsis-tail"), row(505, summary="Quite another matter was heard. Nobody asked the observatory", body=None)]
+    found = evidence_of(spark, rows)
+    assert found == {(500, "summary"): "word", (503, "body"): "bytes", (504, "body"): "bytes", (505, "summary"): "sentence"}
+    others = tuple(e for e in truncation.EVIDENCES if e != "word")
+    assert (500, "summary") not in evidence_of(spark, rows, evidences=others)
+
+
+def test_cuts_after_abbreviations_and_behind_long_links(spark):
+    stock = stock_items()
+    rows = [item(k, summary=t.replace("questioned", "met Dr. Varga and questioned"), body=(t,)) for k, t in enumerate(stock * 3)]
+    link = "https://x.example/" + "a" * 500
+    rows += [item(600, summary="The old theatre met Dr.", body=None), item(601, summary=f"{stock[0]} {link}", body=None), item(602, summary=f"{stock[1]} {link} {link}" + " " * 300, body=None)]
+    rows += [item(603, summary=f"The old newsroom questioned the {link}", body=None), item(604, summary=f"{stock[2][:-1]} and said that the Continue reading.", body=None), item(605, summary=stock[3] + " Continue reading.", body=None)]
+    found = evidence_of(spark, [(*r, None, None) for r in rows])
+    assert found == {(600, "summary"): "continuing", (603, "summary"): "continuing", (604, "summary"): "sign"}
+
+
+def test_the_looked_at_end_tells_what_the_whole_text_tells(spark):
+    rng = random.Random(11)
+    bits = ["word", "Read more", "https://x.example/" + "y" * 90, "…", ".", "!", " ", "    ", "📷", "—", "Ann", "”", "[...]", "\n", "1", "読"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) + rng.choice(["", "." * 30, " " * 200]) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", truncation.stripped_end(F.col("t"))).withColumn("whole", truncation._stripped(F.col("t")))
+    for pattern in (truncation._SIGN, truncation._LINK, truncation._SIGNED, truncation._ENDED):
+        assert df.filter(F.col("e.end").rlike(pattern) != F.col("whole").rlike(pattern)).count() == 0
+    assert df.filter(F.length("whole") != F.length("t") - F.col("e.off")).count() == 0
+
+
+def test_trie_makes_the_wanted_nodes(spark):
+    words = spark.createDataFrame([("car", 2), ("cart", 3), ("x" * 100_000, 2)], "word string, n bigint")
+    wanted = spark.createDataFrame([("ca",), ("car",), ("cart",), ("c",), ("xx",), ("dog",)], "node string")
+    nodes = {r.node: (r["words"], r.here) for r in truncation.trie(words, wanted).collect()}
+    assert nodes == {"c": (2, 0), "ca": (2, 0), "car": (1, 2), "cart": (0, 3), "xx": (1, 0)}
 
 
 # ------------------------------------------------------------------ 7 packing
