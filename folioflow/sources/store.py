@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import selection
 from folioflow.operators.layout import paginated
-from folioflow.session import cut, table
-from folioflow.streaming.state_table import shared_folder
+from folioflow.session import cut, shared_folder, table
 
 
 def write_edition(stories: DataFrame, path: str, edition_date: str) -> bool:

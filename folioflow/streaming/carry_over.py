@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.state import FIELD_BYTES, VALIDATOR_LEDGER_SQL
-from folioflow.streaming.state_table import StateTable, shared_folder
+from folioflow.session import shared_folder
+from folioflow.streaming.state_table import StateTable
 
 
 def read_state_table(spark: SparkSession, path: str) -> StateTable:

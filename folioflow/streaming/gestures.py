@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.session import table
-from folioflow.streaming.state_table import shared_folder
+from folioflow.session import shared_folder, table
 
 SWIPE_PX, SLOP_PX, PRESS_MS, SWIPE_MS, DEBOUNCE_MS = 44, 18, 650, 900, 120
 OUT = "device string, at_ms bigint, gesture string, x int, y int"

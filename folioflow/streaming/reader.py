@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import selection
-from folioflow.session import table
+from folioflow.session import shared_folder, table
 from folioflow.streaming.gestures import OUT, gesture_stream, touches_of_events
-from folioflow.streaming.state_table import shared_folder
 
 MOVES = "device string, at_ms bigint, mode string, story int, page int, marked boolean"
 STATE = "mode string, at int, page int, armed boolean, read array<int>"

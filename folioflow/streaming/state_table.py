@@ -6,20 +6,12 @@ replaced. Merging is a minimum or maximum per column, so a batch that is deliver
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.session import cut, ensure_checkpoint_dir
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints of the session."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}-{next(tempfile._get_candidate_names())}"
+from folioflow.session import cut, file_system
 
 
 class StateTable:
@@ -32,8 +24,8 @@ class StateTable:
 
     def read(self) -> DataFrame | None:
         """The table, or null before its first batch."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        fs, at = file_system(self.spark, self.path)
+        if not fs.exists(at):
             return None
         return self.spark.read.parquet(self.path)
 

@@ -14,7 +14,8 @@ from folioflow.operators.selection import fair_budget, first_printed, item_key,
 from folioflow.sources import feeds, html, http, markup
 from folioflow.sources.store import read_index, story_pages, write_edition
 from folioflow.streaming.gestures import Touch, gesture_stream
-from folioflow.streaming.state_table import StateTable, shared_folder
+from folioflow.session import shared_folder
+from folioflow.streaming.state_table import StateTable
 
 BLOCKS = "array<struct<pos int, type string, level int, ordered boolean, list_index int, text string, runs array<struct<start int, length int, flags tinyint>>, src string>>"
 
