@@ -39,19 +39,21 @@ HEAD = 3  # letters by which wanted nodes are grouped
 _MORE = "read more|read on|read the rest|continue reading|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo|читать далее|читать дальше"
 _BLANKS = r"[\s\p{Z}\x{200b}\x{feff}]+$"
 _TAIL = r"(?:\s+(?:https?://\S+|[\p{So}\x{fe0f}\x{200d}]+))+$"
-_SIGN = rf"(?iu)(?:\[(?:…|\.{{3}})\]|…|\.{{3}}|[\[(]?(?:{_MORE})[^\p{{L}}]*)$"
-_LINK = rf"(?iu)[.!?。．！？”»\"]\s+[\[(]?(?:{_MORE})[^\p{{L}}]*$"
-# a dash, or what a wrong encoding made of it, and a short name after the last sentence
-_SIGNED = r"[.!?。．！？…][\"”»“’)]*\s+(?:[—–-]+\s*|[^\x{00}-\x{7f}\sЀ-ӿ]{3,9}\s+)[^.!?]{1,40}$"
-_ENDED = r"(?:[.!?。．！？…][\"'”»“’‘)\]）]*|[)\]）”»\"]|[.!?…][^\x{00}-\x{7f}\s]{1,8})$"
+_TURNED = "|".join(phrase[::-1] for phrase in _MORE.split("|"))
+# what may stand at an end, read from the last character back: so a text without it is told by its first few characters
+_SIGN = rf"(?iu)^(?:\](?:…|\.{{3}})\[|…|\.{{3}}|[^\p{{L}}]*(?:{_TURNED})[\[(]?)"
+_LINK = rf"(?iu)^[^\p{{L}}]*(?:{_TURNED})[\[(]?\s+[.!?。．！？”»\"]"
+# a short name after a dash, or after what a wrong encoding made of it, behind the last sentence
+_SIGNED = r"^[^.!?]{1,40}(?:\s*[—–-]+|\s+[^\x{00}-\x{7f}\sЀ-ӿ]{3,9})\s+[\"”»“’)]*[.!?。．！？…]"
+_ENDED = r"^(?:[\"'”»“’‘)\]）]*[.!?。．！？…]|[)\]）”»\"]|[^\x{00}-\x{7f}\s]{1,8}[.!?…])"
 # a sentence that ends inside the text: a word, its mark, and a new sentence
 _INNER = r"(?:\p{L}{4,}[\"”»“’)]*[.!?…][\"'”»“’)\]]*\s+[\"'„“”«»‘’¿¡(\[–—-]*\s?[\p{Lu}\p{N}]|[。！？].)"
 _STOP = r"[.!?…。！？][\"'”»“’)\]]*$"
-# each pattern but the last two matches in the last 80 characters or nowhere, unless those hold such a run
+# what stands at an end is in the last 80 characters or nowhere, unless they hold such a run
 _LONG_RUN = r"[^\p{L}]{20}"
 NEAR = 80
-# Last words of the phrases above.
-_MORE_ENDS = sorted({p.split()[-1] for p in _MORE.split("|")})
+# a letter and a plain mark, but not the last word of a phrase above
+_PLAIN = rf"(?iu)\p{{L}}(?=[.!?]$)(?<!(?:{'|'.join(sorted({p.split()[-1] for p in _MORE.split('|')}))}))"
 
 
 def _plain_word(word: Column) -> Column:
@@ -79,26 +81,25 @@ def stripped_end(text: Column) -> Column:
 
 
 def _ending(text: Column, pos: Column) -> Column:
-    """What tells a cut: struct(pos, size, sign, ended, inner, word, first) with the last word and the first two; ``size`` counts the text without trailing links and pictures.
+    """What tells a cut: struct(pos, size, sign, ended, inner, word, one, two) with the last word and hashes of the first word and the first two.
 
-    Patterns are tried only where the text doesn't end in a letter and a plain mark, or could end in a link to the rest.
+    ``size`` counts the text without trailing links and pictures. Patterns are tried only where the text doesn't end in a letter and a plain mark, or
+    could end in a link to the rest.
     """
 
     def as_told(end: Column, size: Column, sign: Column, ended: Column, inner: Column) -> Column:
-        return F.struct(pos.alias("pos"), size.cast("int").alias("size"), sign.alias("sign"), ended.alias("ended"), inner.alias("inner"), F.substring_index(end, " ", -1).alias("word"), first)
+        two = F.translate(F.substring_index(text, " ", 2), "123456789", "000000000")  # digits made equal
+        one = F.xxhash64(F.substring_index(two, " ", 1))
+        return F.struct(pos.alias("pos"), size.cast("int").alias("size"), sign.alias("sign"), ended.alias("ended"), inner.alias("inner"), F.substring_index(end, " ", -1).alias("word"), one.alias("one"), F.xxhash64(two).alias("two"))
 
     def told(x: Column) -> Column:
-        link = x.end.rlike(_LINK)
-        marks = F.struct((x.end.rlike(_SIGN) & ~link).alias("sign"), (x.end.rlike(_ENDED) | x.end.rlike(_SIGNED) | link).alias("ended"))
+        link = lambda back: back.rlike(_LINK)
+        marks = let(F.reverse(x.end), lambda back: F.struct((back.rlike(_SIGN) & ~link(back)).alias("sign"), (back.rlike(_ENDED) | back.rlike(_SIGNED) | link(back)).alias("ended")))
         return let(marks, lambda m: as_told(x.end, F.length(text) - x.off, m.sign, m.ended, F.when(m.sign | m.ended, F.lit(False)).otherwise(text.rlike(_INNER))))
 
-    first = F.regexp_replace(F.substring_index(F.ltrim(text), " ", 2), r"\d+", "0").alias("first")  # digits made equal
-    last = F.lower(F.right(text, F.lit(12)))
-    linked = F.lit(False)
-    for word in _MORE_ENDS:
-        linked = linked | F.endswith(F.substring(last, F.lit(1), F.length(last) - 1), F.lit(word))
-    plain_mark = F.right(text, F.lit(1)).isin(".", "!", "?") & F.substring(F.right(text, F.lit(2)), 1, 1).rlike(r"\p{L}") & ~linked
-    return F.when(plain_mark, as_told(F.when(F.right(text, F.lit(1)) == ".", text), F.length(text), F.lit(False), F.lit(True), F.lit(False))).otherwise(let(stripped_end(text), told))
+    plain = F.right(text, F.lit(13)).rlike(_PLAIN)
+    complete = as_told(F.when(F.endswith(text, F.lit(".")), text), F.length(text), F.lit(False), F.lit(True), F.lit(False))
+    return F.when(plain, complete).otherwise(let(stripped_end(text), told))
 
 
 def story_of(items: DataFrame) -> Column:
@@ -108,14 +109,15 @@ def story_of(items: DataFrame) -> Column:
 
 
 def values_with_ends(items: DataFrame) -> DataFrame:
-    """(item_id, source_name, field, size, sign, ended, inner, lost, word, first): summaries, and the last running block of bodies.
+    """(item_id, source_name, field, size, sign, ended, inner, lost, word, one, two): summaries, and the last running block of bodies.
 
     Repeated lines of the source, headings, captions and lists don't count as running text; lines are counted by distinct stories, as a
     story that is delivered often repeats its own text. ``lost`` is true where ``text_bytes`` is more than the blocks hold or ``truncation`` names a cut of the body; ``items`` may lack these two columns.
     Texts are judged where they are read; only what was found of each is shuffled to meet the repeated lines.
     """
     rows = items.withColumn("source_name", F.coalesce("source_name", F.lit("")))
-    gone = repeated_blocks(rows, 10, 0.002, story_of(rows)).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
+    texts = rows.withColumn("blocks", F.filter("blocks", lambda b: b.type.isin(*RUNNING)))  # no other block is ever judged
+    gone = repeated_blocks(texts, 10, 0.002, story_of(rows)).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
     running = F.filter(F.coalesce("blocks", F.array()), lambda b: b.type.isin(*RUNNING) & F.coalesce(b.text.rlike(r"\S"), F.lit(False)))
     stored = F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("bigint"), lambda n, b: n + F.coalesce(F.octet_length(b.text), F.lit(0)))
     fewer = F.coalesce(F.col("text_bytes") > stored, F.lit(False)) if "text_bytes" in items.columns else F.lit(False)
@@ -134,7 +136,7 @@ def values_with_ends(items: DataFrame) -> DataFrame:
         F.struct(F.lit("body").alias("field"), F.col("lost"), F.col("body").alias("e")),
     )
     each = body.select("item_id", "source_name", F.inline(F.filter(fields, lambda f: f.e.isNotNull())))
-    return each.select("item_id", "source_name", "field", "lost", "e.size", "e.sign", "e.ended", "e.inner", "e.word", "e.first")
+    return each.select("item_id", "source_name", "field", "lost", "e.size", "e.sign", "e.ended", "e.inner", "e.word", "e.one", "e.two")
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,12 +215,13 @@ def truncated(
     stopped = ends.filter(F.col("sign") | ~F.col("ended")).groupBy("field", "size").agg(F.count("*").alias("n"))
     least = stopped.groupBy("field").agg(F.greatest(F.lit(float(pile_least)), pile_share * F.sum("n")).alias("least"))
     limits = stopped.join(F.broadcast(least), "field").filter("n >= least").select("field", "size", F.lit(True).alias("limit"))  # two fields
-    one, two = F.substring_index("first", " ", 1), F.col("first")
-    openings = ends.select("sign", "ended", F.explode(F.array_distinct(F.array(one, two))).alias("first")).filter("first <> ''").groupBy("first").agg(F.count("*").alias("n"), F.count_if(~F.col("sign") & ~F.col("ended")).alias("open"))
-    usual = bounded_broadcast(openings.filter((F.col("n") >= ends_least) & (F.col("open") > 0)).select("first", (F.col("open") / F.col("n")).alias("share")))
-    judged = open_.join(nodes, "word", "left").join(F.broadcast(limits), ["field", "size"], "left").join(bounded_broadcast(continuing), "word", "left").withColumn("begun", one)
-    judged = judged.join(usual, "first", "left").join(usual.select(F.col("first").alias("begun"), F.col("share").alias("share1")), "begun", "left").withColumn("share", F.coalesce("share", "share1"))
-    tells = {"word": F.col("begins"), "bytes": F.col("lost"), "length": F.col("limit") & (F.coalesce("share", F.lit(0.0)) < caption_share), "continuing": F.col("continuing"), "sentence": F.col("inner"), "opening": F.col("share") <= opening_share}
+    openings = ends.select("sign", "ended", F.explode(F.array_distinct(F.array("one", "two"))).alias("opening")).groupBy("opening").agg(F.count("*").alias("n"), F.count_if(~F.col("sign") & ~F.col("ended")).alias("open"))
+    habits = bounded_broadcast(openings.filter((F.col("n") >= ends_least) & (F.col("open") > 0)).select("opening", (F.col("open") / F.col("n")).alias("share")))
+    judged = open_.join(nodes, "word", "left").join(F.broadcast(limits), ["field", "size"], "left").join(bounded_broadcast(continuing), "word", "left")
+    for k in ("one", "two"):
+        judged = judged.join(habits.select(F.col("opening").alias(k), F.col("share").alias(f"share_{k}")), k, "left")
+    share = F.coalesce("share_two", "share_one")
+    tells = {"word": F.col("begins"), "bytes": F.col("lost"), "length": F.col("limit") & (F.coalesce(share, F.lit(0.0)) < caption_share), "continuing": F.col("continuing"), "sentence": F.col("inner"), "opening": share <= opening_share}
     evidence = F.coalesce(*[F.when(F.coalesce(tells[e], F.lit(False)), e) for e in EVIDENCES if e in tells and e in evidences], F.lit(None).cast("string"))
     told = judged.select("item_id", "source_name", "field", evidence.alias("evidence")).filter(F.col("evidence").isNotNull())
     dotted = ends.filter(F.col("ended") & F.endswith("word", F.lit("."))).withColumn("word", _plain_word(F.col("word"))).join(bounded_broadcast(abbreviations), "word", "left_semi")
