@@ -2,20 +2,25 @@
 
 The ledger holds one row per canonical key: how many copies came so far, the smallest id and the earliest copy. A new
 batch is aggregated by key first (combined before its shuffle, so a story with any number of copies costs one row per
-task) and then full-outer-joined with the ledger. On disk the ledger is bucketed by key; a batch reads and rewrites
-only the buckets in which it has keys.
+task) and then full-outer-joined with the ledger's matching buckets. On disk the ledger is bucketed by key; a batch reads and
+writes only the buckets in which it has keys, beside the ones they replace, and counts once its commit is written.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
+from folioflow.session import cut, file_system, shared_folder
 
-LEDGER = "bucket int, key binary, copies bigint, smallest_id bigint, earliest struct<at: timestamp_ntz, id: bigint>"
+LEDGER = "slot int, key binary, copies bigint, smallest_id bigint, earliest struct<at: timestamp_ntz, id: bigint>"
+BUCKETS, SPLITS = 64, 4
 
 
 def canonical(text: Column) -> Column:
@@ -41,15 +46,15 @@ def record_key(guid: Column, link: Column, title: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", *parts)))
 
 
-def keyed(items: DataFrame, buckets: int = 64) -> DataFrame:
-    """(bucket, key, item_id, at) of items."""
+def keyed(items: DataFrame, slots: int = BUCKETS * SPLITS) -> DataFrame:
+    """(slot, key, item_id, at) of items; a slot is a share of the keys that one task writes."""
     rows = items.select(record_key(F.col("guid"), F.col("link"), F.col("title")).alias("key"), "item_id", F.col("fetched_at").cast("timestamp_ntz").alias("at"))
-    return rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "item_id", "at")
+    return rows.select(F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int").alias("slot"), "key", "item_id", "at")
 
 
 def batch_counts(rows: DataFrame) -> DataFrame:
     """A batch of keyed rows as a ledger of its own; a null time sorts behind every known one."""
-    return rows.groupBy("bucket", "key").agg(
+    return rows.groupBy("slot", "key").agg(
         F.count("*").alias("copies"),
         F.min("item_id").alias("smallest_id"),
         F.min(F.struct(F.coalesce("at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")).alias("at"), F.col("item_id").alias("id"))).alias("earliest"),
@@ -59,9 +64,9 @@ def batch_counts(rows: DataFrame) -> DataFrame:
 def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger after a batch of counts: counts add up, the smallest id and the earliest copy stay."""
     a, b = ledger.alias("a"), batch.alias("b")
-    joined = a.join(b, ["bucket", "key"], "full_outer")
+    joined = a.join(b, ["slot", "key"], "full_outer")
     return joined.select(
-        "bucket",
+        "slot",
         "key",
         (F.coalesce(F.col("a.copies"), F.lit(0)) + F.coalesce(F.col("b.copies"), F.lit(0))).alias("copies"),
         F.least("a.smallest_id", "b.smallest_id").alias("smallest_id"),
@@ -69,33 +74,102 @@ def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Ledger:
-    """A ledger on disk, one folder per bucket and version; survives lost executors and repeated batches."""
+    """A ledger on disk that counts every batch once.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    Each batch has an id. What it changes is written to a folder of its own, one Parquet partition per bucket, and becomes part of the ledger when
+    a commit is renamed into place: a file with the ids of all batches counted so far and, per bucket, the folder that holds it now. A batch that was
+    committed before is passed over; one that died on the way, between any two buckets, has left the ledger as it was and is
+    written again in full. A commit that another writer made meanwhile is an error, and the batch can be added again. Replaced
+    buckets stay until ``vacuum``, so readers of an older commit aren't disturbed.
 
-    def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], LEDGER)
-
-    def add(self, items: DataFrame) -> None:
-        """Count a batch in. Only buckets with keys of the batch are read and replaced; an empty batch changes nothing."""
-        batch = cut(batch_counts(keyed(items, self.buckets)))
-        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if touched:
-            merged = cut(merge(self.read().filter(F.col("bucket").isin(touched)), batch))
-            merged.repartition("bucket").sortWithinPartitions("key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+    ``splits`` tasks share a bucket, and both sides of the join are shuffled once, by that share.
+    """
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, splits: int = SPLITS):
+        self.spark, self.path, self.buckets, self.splits = spark, path, buckets, splits
+
+    def _commits(self) -> list[int]:
+        fs, at = file_system(self.spark, f"{self.path}/commits")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()) if fs.exists(at) else []
+
+    def state(self) -> tuple[int, list[str], dict[int, str]]:
+        """(number, batch ids, folder by bucket) of the newest commit."""
+        commits = self._commits()
+        if not commits:
+            return 0, [], {}
+        told = json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/commits/{commits[-1]}", wholetext=True).collect()))
+        return commits[-1], told["batches"], {int(k): v for k, v in told["buckets"].items()}
+
+    def _commit(self, number: int, batches: list[str], folders: dict[int, str]) -> None:
+        fs, at = file_system(self.spark, f"{self.path}/commits/{number}")
+        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps({"batches": batches, "buckets": folders}).encode()))
+        out.close()
+        if fs.exists(at) or not fs.rename(draft, at):
+            fs.delete(draft, False)
+            raise RuntimeError(f"commit {number} of {self.path} was made by another writer")
+
+    def _rows(self, folders: dict[int, str]) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/bucket={k}" for k, folder in sorted(folders.items())]  # at most ``buckets``
+        return self.spark.read.schema(LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER)
 
-def ledger_of(items: DataFrame, batches: list[Column], buckets: int = 64) -> DataFrame:
-    """The ledger after the rows of each condition came as a batch, in this order."""
-    counts = [batch_counts(keyed(items.filter(c), buckets)) for c in batches]
-    return reduce(merge, counts[1:], counts[0])
+    def read(self) -> DataFrame:
+        return self._rows(self.state()[2])
+
+    def add(self, items: DataFrame, batch_id: str) -> bool:
+        """Count a batch in; false if it was counted before. Only buckets with keys of the batch are read and written; an empty batch changes no bucket."""
+        number, done, folders = self.state()
+        if batch_id in done:
+            return False
+        slots = self.buckets * self.splits
+        bucket = F.pmod(F.col("slot"), F.lit(self.buckets)).alias("bucket")
+        batch = cut(batch_counts(keyed(items, slots)))
+        touched = [r.bucket for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            folder = f"{number + 1}-{re.sub('[^A-Za-z0-9]+', '-', batch_id)}-{uuid.uuid4().hex[:8]}"
+            tasks = min(slots, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), len(touched)))
+            kept = self._rows({k: v for k, v in folders.items() if k in set(touched)})
+            # both sides come by slot, which is part of the join's key, so the join and the write need no other shuffle
+            with _setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+                merged = merge(kept.repartition(tasks, "slot"), batch.repartition(tasks, "slot")).withColumn("bucket", bucket)
+                merged.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+            folders = folders | dict.fromkeys(touched, folder)
+        self._commit(number + 1, [*done, batch_id], folders)
+        return True
+
+    def vacuum(self) -> None:
+        """Delete the buckets that the newest commit doesn't name, what dead batches left, and older commits."""
+        number, _, folders = self.state()
+        fs, data = file_system(self.spark, f"{self.path}/data")
+        held = {f"{v}/bucket={k}" for k, v in folders.items()}
+        for folder in fs.listStatus(data) if fs.exists(data) else []:
+            for bucket in fs.listStatus(folder.getPath()):
+                if f"{folder.getPath().getName()}/{bucket.getPath().getName()}" not in held:
+                    fs.delete(bucket.getPath(), True)
+        for old in self._commits():
+            if old < number:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{old}"), False)
+
+
+def ledger_of(items: DataFrame, batches: list[Column], path: str | None = None) -> Ledger:
+    """A ledger on disk to which the rows of each condition were added as a batch, in this order."""
+    spark = items.sparkSession
+    ledger = Ledger(spark, path or shared_folder(spark, "ledger"))
+    for k, condition in enumerate(batches):
+        ledger.add(items.filter(condition), f"batch-{k}")
+    return ledger
 
 
 def copies(items: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -123,13 +197,13 @@ def _two_batches(items: DataFrame) -> list[Column]:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    return copies(items, ledger_of(items, _two_batches(items)))
+    return copies(items, ledger_of(items, _two_batches(items)).read())
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each story once: the smallest id, the earliest delivery and the number of copies."""
     items = _items(spark, sf_dir)
-    return ledger_of(items, _two_batches(items)).select("smallest_id", F.col("earliest.id").alias("earliest_id"), "copies")
+    return ledger_of(items, _two_batches(items)).read().select("smallest_id", F.col("earliest.id").alias("earliest_id"), "copies")
 
 
 _KEYED = r"""

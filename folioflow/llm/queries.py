@@ -20,6 +20,7 @@ QUERIES = {
     "p7_fill": packing.p7_fill,
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
+    "p8_locations": leaks.p8_locations,
     "p8_clean": leaks.p8_clean,
     "p9_found": quality.p9_found,
     "p9_statistics": quality.p9_statistics,
@@ -31,4 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "p4_found": boilerplate.P4_FOUND_SQL,
     "p4_cleaned": boilerplate.P4_CLEANED_SQL,
     "p8_found": leaks.P8_FOUND_SQL,
+    "p8_report": leaks.P8_REPORT_SQL,
+    "p8_locations": leaks.P8_LOCATIONS_SQL,
+    "p8_clean": leaks.P8_CLEAN_SQL,
 }
