@@ -11,6 +11,7 @@ _MODULES = (selection, content, state, details, documents, layout, carry_over, g
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,
+    "p6_estimated": timestamps.p6_estimated,
     "p6_zone_estimates": timestamps.p6_zone_estimates,
 }
 

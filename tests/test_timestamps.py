@@ -1,8 +1,11 @@
-from datetime import datetime
+import random
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.operators import timestamps
 from folioflow.operators.timestamps import estimate_zones, normalise_timestamps
 
 CASES = [
@@ -75,3 +78,34 @@ def test_empty_table_and_repeats(spark):
     assert normalise_timestamps(df, "raw", group="g", fetched="fetched_at").count() == 0
     twice = spark.createDataFrame([("2026-01-01", "e"), ("2026-01-01", "e")], "raw string, utc_us string")
     assert [r.utc_us for r in normalise_timestamps(twice, "raw").collect()] == [1767225600000000] * 2
+
+
+ZONES = ["UTC", "Europe/London", "Europe/Paris", "Europe/Moscow", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney", "America/New_York", "America/Los_Angeles"]
+
+
+def test_instants_without_stated_zones(spark):
+    """Feeds of unknown zones, with stories fetched hours after and delivered again: the estimated histories give nearly all instants."""
+    rng = random.Random(4)
+    rows = []
+    for g, zone in enumerate(ZONES):
+        for k in range(60):
+            at = datetime(2026, 1, 1, tzinfo=UTC) + timedelta(minutes=rng.randint(0, 360 * 24 * 60))
+            fetched = at + timedelta(seconds=100 + rng.expovariate(1 / 5000) if rng.random() > 0.02 else rng.randint(-30_000, 900_000))
+            zoned = k % 3 == 0
+            raw = at.strftime("%Y-%m-%dT%H:%M:%SZ") if zoned else at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S")
+            rows += [(g, k, raw, (fetched + timedelta(days=d)).replace(tzinfo=None), int(at.timestamp()) * 1_000_000) for d in range(3)]
+    df = spark.createDataFrame(rows, "g int, k int, raw string, fetched_at timestamp_ntz, want bigint")
+    got = normalise_timestamps(df, "raw", group="g", fetched="fetched_at").collect()
+    assert len(got) == len(rows) and sum(r.utc_us == r.want for r in got) >= 0.98 * len(rows)
+    assert {r.zone_source for r in got} == {"stated-offset", "estimated"}
+
+
+def test_nothing_is_estimated_where_zones_are_stated(spark, monkeypatch):
+    monkeypatch.setattr(timestamps, "estimate_zones", lambda *_, **__: pytest.fail("estimated"))
+    df = spark.createDataFrame([("2026-07-01 10:00", "Europe/Berlin", "f")], "raw string, zone string, g string").withColumn("fetched_at", F.lit(None).cast("timestamp_ntz"))
+    assert normalise_timestamps(df, "raw", group="g", fetched="fetched_at", stated_zone="zone").first().zone_source == "stated-zone"
+
+
+def test_candidates_are_distinct_histories():
+    zones = timestamps.candidate_zones()
+    assert len({timestamps.history(z) for z in zones}) == len(zones) and timestamps.history("Europe/Paris") in {timestamps.history(z) for z in zones}
