@@ -1,9 +1,11 @@
-"""Statistics of document texts, how unusual they are for their language, and what kind of text they tell.
-
-Statistics are taken over whole texts. Their empirical distributions are exact: equal values are counted first, the
-distinct values are sorted by range partitioning, and a partition's offset is what the partitions before it hold; no
-language or value is ever in one task. A document's outlier score is the mean surprise of its tail probabilities.
-The kind comes from trees that are trained on a bounded number of labelled documents.
+"""Statistics of document texts, how unusual they are, and what kind of text they tell.
+
+Statistics are taken over whole texts, unrounded. Their empirical distributions are exact: values are sorted by range partitioning, numbered
+inside their range, and a range's offset is what the ranges before it hold; rows with equal values may lie in several ranges, and share
+their ranks all the same, so no language or value is ever in one task. The five statistics are ranked within the language, the shapes of lines,
+which no language has to itself, over all documents. Lower and upper tail probabilities make a tail score for each, and the outlier
+score of the document. Whether a document is prose is decided from the tail scores alone, by trees that are trained on a bounded number of
+labelled documents; what else it is, list, table or junk, by trees on the shapes themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ SHAPES = (
     "prose_line_chars", "numbered_line_chars", "bullet_line_chars", "digit_line_chars", "separated_line_chars", "digit_end_chars", "short_line_chars", "leader_line_chars", "deviation_word_length", "distinct_words",
 )
 FEATURES = STATISTICS + SHAPES
+RANKED_SHAPES = (
+    "digit_share", "markup_share", "distinct_share", "prose_line_chars", "numbered_line_chars", "bullet_line_chars", "digit_line_chars", "separated_line_chars", "short_line_chars", "leader_line_chars",
+)
+RANKED = STATISTICS + RANKED_SHAPES
+ALL = "*"  # the group of what is ranked over all languages
 
 # Signs that end a sentence or a line of it, bullets, column separators, and signs of markup and code.
 _ENDS = np.array(sorted(map(ord, ".!?…:;\"'”»“’)«")), np.uint32)
@@ -119,7 +126,7 @@ def measure(texts: list[str | None], common: list[np.ndarray]) -> dict[str, np.n
         "short_line_chars": chars_in((weight < 60) & ~ended),
         "leader_line_chars": chars_in(within(dots) >= 1),
     }
-    return {k: np.round(out[k], 0 if k in ("words", "longest_word", "distinct_words") else 2 if "length" in k else 4) for k in FEATURES}
+    return {k: out[k] for k in FEATURES}
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,44 +166,87 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id bigint, lang string, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
-def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per row of a sorted partition, how many documents of its group have a smaller value in this partition."""
-    group, before = None, 0
-    for batch in batches:
-        below = []
-        for key, n in zip(zip(batch["lang"], batch["stat"], strict=True), batch["n"], strict=True):
-            if key != group:
-                group, before = key, 0
-            below.append(before)
-            before += n
-        yield batch.assign(below=below)
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a sorted range with ``below`` and ``upto``: how many rows of their group in this range have a smaller value, and one no larger.
 
+    Rows that share a value are kept back until the value ends.
+    """
+    held: pd.DataFrame | None = None
+    group, before = None, 0
 
-def exact_ranks(statistics: DataFrame, columns: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """(lang, stat, value, below, n, total): for each distinct value how many documents of its language have a smaller one.
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        nonlocal group, before
+        stat, names, value = rows["stat"].to_numpy(), rows["grp"].to_numpy(), rows["value"].to_numpy()
+        n = len(rows)
+        new_group = np.concatenate(([True], (stat[1:] != stat[:-1]) | (names[1:] != names[:-1])))
+        new_value = new_group | np.concatenate(([True], value[1:] != value[:-1]))
+        starts = np.flatnonzero(new_value)
+        run = np.cumsum(new_value) - 1
+        ends = np.append(starts[1:], n)
+        opens = np.flatnonzero(new_group)
+        first_of_group = opens[np.cumsum(new_group) - 1]
+        carried = np.where(first_of_group == 0, before if group == (stat[0], names[0]) else 0, 0)
+        below, upto = starts[run] - first_of_group + carried, ends[run] - first_of_group + carried
+        group, before = (stat[-1], names[-1]), int(upto[-1])
+        return rows.assign(below=below, upto=upto)
 
-    Values are counted before they are sorted, so a value that any share of the documents has is one row. Ties share their rank.
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        stat, names, value = rows["stat"].to_numpy(), rows["grp"].to_numpy(), rows["value"].to_numpy()
+        other = np.flatnonzero((stat != stat[-1]) | (names != names[-1]) | (value != value[-1]))
+        k = int(other[-1]) + 1 if len(other) else 0
+        held = rows.iloc[k:]
+        if k:
+            yield told(rows.iloc[:k])
+    if held is not None and len(held):
+        yield told(held)
+
+
+def exact_ranks(statistics: DataFrame, columns: tuple[str, ...] = RANKED) -> DataFrame:
+    """(doc_id, row, lang, stat, value, below, upto, total): for each document and column how many of its group have a smaller value, and one no larger.
+
+    The group is the language for ``STATISTICS`` and all documents for other columns; ``stat`` is the column's number and ``row`` tells rows with one id apart.
+    Ties share their ranks. ``statistics`` has to be materialised, so that its rows keep their numbers.
     """
-    long = statistics.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in columns])).alias("x"))
-    counted = long.groupBy("lang", F.col("x.stat").alias("stat"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
-    sorted_ = counted.repartitionByRange("lang", "stat", "value").sortWithinPartitions("lang", "stat", "value").withColumn("part", F.spark_partition_id())
-    placed = cut(sorted_.mapInPandas(_running, "lang string, stat string, value double, n bigint, part int, below bigint"))
-    held = placed.groupBy("lang", "stat", "part").agg(F.sum("n").alias("held"))  # a row per group and partition
-    before = Window.partitionBy("lang", "stat").orderBy("part")
-    offsets = held.select("lang", "stat", "part", (F.sum("held").over(before) - F.col("held")).alias("offset"), F.sum("held").over(Window.partitionBy("lang", "stat")).alias("total"))
-    return placed.join(bounded_broadcast(offsets), ["lang", "stat", "part"]).select("lang", "stat", "value", (F.col("below") + F.col("offset")).alias("below"), "n", "total")
-
-
-def outlier_scores(statistics: DataFrame, columns: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """``statistics`` with ``tail_<stat>`` (two-sided tail probability in the language) and ``outlier``, the mean of their surprises."""
-    ranks = cut(exact_ranks(statistics, columns))
-    tail = F.least(F.lit(1.0), 2 * F.least((F.col("below") + F.col("n")) / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")))
-    scored = statistics
-    for c in columns:
-        side = ranks.filter(F.col("stat") == c).select("lang", F.col("value").alias(c), tail.alias(f"tail_{c}"))
-        scored = scored.join(bounded_broadcast(side, 1_000_000), ["lang", c], "left")
-    surprise = sum((-F.log(F.col(f"tail_{c}")) for c in columns), F.lit(0.0)) / len(columns)
-    return scored.withColumn("outlier", F.round(surprise, 6))
+    each = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("stat"), (F.col("lang") if c in STATISTICS else F.lit(ALL)).alias("grp"), (F.col(c) + 0.0).alias("value")) for k, c in enumerate(columns)])
+    long = statistics.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "lang", F.inline(each))
+    # rows of one value are spread by their number
+    order = ("stat", "grp", "value", "row")
+    sorted_ = long.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    placed = cut(sorted_.mapInPandas(_placed, "doc_id bigint, row bigint, lang string, stat tinyint, grp string, value double, part int, below bigint, upto bigint"))
+    ends = placed.groupBy("stat", "grp", "part").agg(
+        F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"), F.min("upto").alias("first_n"), (F.max("upto") - F.max("below")).alias("last_n")
+    )  # a row per group and range
+    by_group = Window.partitionBy("stat", "grp")
+    before = F.sum("n").over(by_group.orderBy("part")) - F.col("n")
+    ends = ends.select("*", before.alias("before"), F.sum("n").over(by_group).alias("total"))
+    # a value at the edge of ranges: what the ranges before and behind hold of it
+    earlier = Window.partitionBy("stat", "grp", "value").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("stat", "grp", "value").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    edges = ends.select("stat", "grp", "part", F.inline(F.array_distinct(F.array(F.struct(F.col("first").alias("value"), F.col("first_n").alias("m")), F.struct(F.col("last").alias("value"), F.col("last_n").alias("m"))))))
+    shared = edges.select("stat", "grp", "part", "value", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("equal_before"), F.coalesce(F.sum("m").over(later), F.lit(0)).alias("equal_behind"))
+    offset = ends.select("stat", "grp", "part", "before", "total")
+    whole = placed.join(bounded_broadcast(offset), ["stat", "grp", "part"]).join(bounded_broadcast(shared), ["stat", "grp", "part", "value"], "left")
+    below = F.col("before") + F.col("below") - F.coalesce("equal_before", F.lit(0))
+    upto = F.col("before") + F.col("upto") + F.coalesce("equal_behind", F.lit(0))
+    return whole.select("doc_id", "row", "lang", "stat", "value", below.alias("below"), upto.alias("upto"), "total")
+
+
+def tail_scores(statistics: DataFrame, columns: tuple[str, ...] = RANKED) -> DataFrame:
+    """(doc_id, lang, the columns, ``tail_<c>``, ``score_<c>``, outlier) of every document.
+
+    ``tail`` is the two-sided tail probability, ``score`` the log odds of the lower against the upper one, ``outlier`` the mean surprise of the tails
+    of ``STATISTICS``.
+    """
+    ranks = exact_ranks(statistics, columns)
+    low, high = F.col("upto") / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")
+    each = ranks.select("doc_id", "row", "lang", "stat", "value", F.least(F.lit(1.0), 2 * F.least(low, high)).alias("tail"), F.log(low / high).alias("score"))
+    picked = [F.max(F.when(F.col("stat") == k, F.col(v))).alias(f"{v}_{c}") for k, c in enumerate(columns) for v in ("value", "tail", "score")]
+    wide = each.groupBy("row", "doc_id", "lang").agg(*picked).drop("row")
+    surprise = sum((-F.log(F.col(f"tail_{c}")) for c in columns if c in STATISTICS), F.lit(0.0)) / len(STATISTICS)
+    return wide.withColumn("outlier", surprise).withColumnsRenamed({f"value_{c}": c for c in columns})
 
 
 class Forest:
@@ -257,44 +307,65 @@ class Forest:
         return total / len(self.trees)
 
 
-MODEL_COLUMNS = (*FEATURES, "outlier")
+PROSE_COLUMNS = (*[f"score_{c}" for c in RANKED], "outlier")
+
 
+def known_kinds(labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """(doc_id, kind) of at most ``most`` labelled documents, those with the smallest hash of their id."""
+    return bounded_broadcast(labels.filter(F.col("kind").isin(*KINDS)).select("doc_id", "kind").orderBy(F.xxhash64("doc_id"), "doc_id", "kind").limit(most))
 
-def train(scored: DataFrame, labels: DataFrame, most: int = 20_000) -> Forest | None:
-    """Trees from at most ``most`` labelled documents, those with the smallest hash of their id; null without any labels."""
-    known = labels.filter(F.col("kind").isin(*KINDS)).select("doc_id", "kind").orderBy(F.xxhash64("doc_id"), "doc_id", "kind").limit(most)
-    rows = scored.join(bounded_broadcast(known), "doc_id").select(*MODEL_COLUMNS, "kind").toPandas()
-    if rows.empty:
+
+def train(rows: DataFrame, known: DataFrame, columns: tuple[str, ...], kinds: tuple[str, ...]) -> Forest | None:
+    """Trees that tell the ``kinds`` of labelled documents from columns of ``rows``; null without any."""
+    found = rows.join(known.filter(F.col("kind").isin(*kinds)), "doc_id").select(*columns, "kind").toPandas()  # bounded as the labels are
+    if found.empty:
         return None
-    rows = rows.sort_values(list(rows.columns), ignore_index=True)  # the same trees whatever the order of arrival
-    return Forest(rows[list(MODEL_COLUMNS)].fillna(0).to_numpy(), rows["kind"].map(KINDS.index).to_numpy(), len(KINDS))
+    found = found.sort_values(list(found.columns), ignore_index=True)  # the same trees whatever the order of arrival
+    return Forest(found[list(columns)].fillna(0).to_numpy(float), found["kind"].map(kinds.index).to_numpy(), len(kinds))
 
 
-def kinds(scored: DataFrame, forest: Forest | None) -> DataFrame:
-    """(doc_id, kind): the kind with the highest chance; everything is prose without a model."""
+def not_prose(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id): documents that are not prose by their tail scores; none without labels."""
+    binary = known.withColumn("kind", F.when(F.col("kind") == "prose", "prose").otherwise("other"))
+    forest = train(scored, binary, PROSE_COLUMNS, ("prose", "other"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if forest is None:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": "prose"})
-            else:
-                best = forest.chances(batch[list(MODEL_COLUMNS)].fillna(0).to_numpy()).argmax(1)
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": np.array(KINDS)[best]})
+            other = forest.chances(batch[list(PROSE_COLUMNS)].fillna(0).to_numpy(float))[:, 1] > 0.5 if forest else np.zeros(len(batch), bool)
+            yield batch.loc[other, ["doc_id"]]
+
+    return scored.select("doc_id", *PROSE_COLUMNS).mapInPandas(run, "doc_id bigint")
+
 
-    return scored.select("doc_id", *MODEL_COLUMNS).mapInPandas(run, "doc_id bigint, kind string")
+def kinds_of(statistics: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, kind): whether a document that isn't prose is a list, a table or junk, by its shapes; junk without labels."""
+    names = KINDS[1:]
+    forest = train(statistics, known, FEATURES, names)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best = forest.chances(batch[list(FEATURES)].to_numpy(float)).argmax(1) if forest else np.full(len(batch), len(names) - 1)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": np.array(names)[best]})
 
-def _scored(spark, sf_dir: str) -> DataFrame:
-    return outlier_scores(cut(text_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return statistics.select("doc_id", *FEATURES).mapInPandas(run, "doc_id bigint, kind string")
+
+
+def quality(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """(doc_id, kind) of every document that is not prose, learned from at most ``most`` labelled ones.
+
+    Null and empty texts are documents without words. A repeated id is judged by each of its rows, and may have several kinds. Without labels nothing is found.
+    """
+    statistics = cut(text_statistics(documents))
+    known = known_kinds(labels, most)
+    other = not_prose(cut(tail_scores(statistics)), known).distinct()
+    return kinds_of(statistics.join(other, "doc_id", "left_semi"), known)
 
 
 def p9_statistics(spark, sf_dir: str) -> DataFrame:
     """The five statistics, their tail probabilities and the outlier score of every document."""
-    scored = _scored(spark, sf_dir)
-    return scored.select("doc_id", "lang", *STATISTICS, *[F.round(f"tail_{c}", 9).alias(f"tail_{c}") for c in STATISTICS], "outlier")
+    scored = tail_scores(cut(text_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet"))), STATISTICS)
+    return scored.select("doc_id", "lang", *STATISTICS, *[F.round(f"tail_{c}", 9).alias(f"tail_{c}") for c in STATISTICS], F.round("outlier", 6).alias("outlier"))
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/doc_labels.parquet")
-    return kinds(scored, train(scored, labels)).filter("kind <> 'prose'").distinct()
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/doc_labels.parquet")).distinct()

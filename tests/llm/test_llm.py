@@ -379,21 +379,37 @@ def documents(spark):
 
 def test_ranks_are_exact_and_kinds_are_learned(spark):
     docs, labels = documents(spark)
-    stats = quality.text_statistics(docs)
+    stats = quality.cut(quality.text_statistics(docs))
     rows = stats.toPandas()
-    scored = quality.outlier_scores(stats)
-    ranks = {(r.lang, r.stat, r.value): (r.below, r.n, r.total) for r in quality.exact_ranks(stats).collect()}
-    for lang, group in rows.groupby("lang"):
-        for stat in quality.STATISTICS:
-            for value in set(group[stat]):
-                assert ranks[lang, stat, value] == ((group[stat] < value).sum(), (group[stat] == value).sum(), len(group))
     assert rows[rows.doc_id == 900].iloc[0].words == 0
-    forest = quality.train(scored, labels)
-    got = {r.doc_id: r.kind for r in quality.kinds(scored, forest).collect()}
-    right = sum(got[k] == ["prose", "list", "table", "junk"][k % 4] for k in range(160, 240))
-    assert right >= 78 and len(got) == 242
-    assert quality.train(scored, labels.filter("doc_id < 0")) is None and {r.kind for r in quality.kinds(scored, None).collect()} == {"prose"}
-    assert quality.outlier_scores(stats.filter("doc_id < 0")).count() == 0
+    ranks = {(r.doc_id, r.stat): (r.value, r.below, r.upto, r.total) for r in quality.exact_ranks(stats).collect()}
+    for k, c in enumerate(quality.RANKED):
+        for _, group in rows.groupby("lang") if c in quality.STATISTICS else [("*", rows)]:
+            for doc_id, value in zip(group["doc_id"], group[c], strict=True):
+                assert ranks[doc_id, k] == (value, (group[c] < value).sum(), (group[c] <= value).sum(), len(group))
+    want = lambda k: ["prose", "list", "table", "junk"][k % 4]
+    got = {r.doc_id: r.kind for r in quality.quality(docs, labels).collect()}
+    assert sum(got.get(k, "prose") == want(k) for k in range(160, 240)) >= 78
+    assert quality.quality(docs, labels.filter("doc_id < 0")).count() == 0
+    assert quality.quality(docs.filter("doc_id < 0"), labels).count() == 0
+
+
+def test_a_value_over_several_ranges_has_one_rank(spark):
+    values = [0.0] * 500 + [1.5] * 300 + list(range(2, 100)) + [7.0] * 200
+    stats = quality.cut(spark.createDataFrame([(k, "en", float(v)) for k, v in enumerate(values)], "doc_id bigint, lang string, words double").repartition(3))
+    got = {r.doc_id: (r.below, r.upto, r.total) for r in quality.exact_ranks(stats, ("words",)).collect()}
+    array = np.array(values, float)
+    assert got == {k: ((array < v).sum(), (array <= v).sum(), len(values)) for k, v in enumerate(array)}
+
+
+def test_whether_a_text_is_prose_is_decided_by_tail_scores(spark):
+    """With flat tail scores in place of the real ones nothing is told apart."""
+    docs, labels = documents(spark)
+    scored = quality.tail_scores(quality.cut(quality.text_statistics(docs)))
+    known = quality.known_kinds(labels)
+    assert quality.not_prose(scored, known).count() > 150
+    flat = scored.withColumns({c: F.lit(0.0) for c in quality.PROSE_COLUMNS})
+    assert quality.not_prose(flat, known).select("doc_id").distinct().count() in (0, 242)
 
 
 def test_statistics_of_one_text():
