@@ -196,19 +196,14 @@ select item_id, who as author, concat_ws('  ·  ', case when who <> '' then 'By
 def string_normalise(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     t = F.col("text")
-    return documents.select("doc_id", F.octet_length(t).alias("bytes"), F.length(trim_ws(t)).alias("trimmed"), F.length(collapse_ws(t)).alias("collapsed"), icontains(t, "Read More").alias("more"), ascii_lower(F.substring(t, 1, 40)).alias("head"))
+    return documents.select("doc_id", F.octet_length(t).alias("bytes"), F.length(trim_ws(t)).alias("trimmed"), F.length(collapse_ws(t)).alias("collapsed"), icontains(t, "Read More").alias("more"), ascii_lower(t).alias("lowered"))
 
 
 STRING_NORMALISE_SQL = r"""
 select doc_id, strlen(text)::int as bytes, length(regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'))::int as trimmed,
   length(regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g'))::int as collapsed,
   contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'read more') as more,
-  translate(left(text, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as head from documents"""
-
-
-def string_lowered(spark, sf_dir: str) -> DataFrame:
-    """Every document with its whole text in ASCII lower case; ``string_normalise`` gives and compares the first 40 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", ascii_lower(F.col("text")).alias("lowered"))
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered from documents"""
 
 
 def url_split(spark, sf_dir: str) -> DataFrame:
@@ -288,7 +283,6 @@ QUERIES = {
     "article_documents": (article_documents, None),
     "article_enrich": (article_enrich, ARTICLE_ENRICH_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL),
-    "string_lowered": (string_lowered, None),
     "string_normalise": (string_normalise, STRING_NORMALISE_SQL),
     "url_parts": (url_split, URL_SPLIT_SQL),
     "url_resolve": (url_resolve, URL_RESOLVE_SQL),

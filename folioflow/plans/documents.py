@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.operators.content import article_run
 from folioflow.session import table
 from folioflow.sources.feeds import feed_items, opml_feeds
-from folioflow.sources.html import html_to_blocks
+from folioflow.sources.html import NO_LIMITS, html_losses, html_to_blocks
 
 
 def escaped(text: Column) -> Column:
@@ -23,21 +23,25 @@ def _pages(spark, sf_dir: str) -> DataFrame:
 
 
 def html_blocks(spark, sf_dir: str) -> DataFrame:
-    """Blocks of every page: the navigation's list item, the lines, and the footer, at most 600."""
-    blocks = _pages(spark, sf_dir).select("doc_id", F.explode(html_to_blocks(F.col("page"))).alias("b"))
-    return blocks.select("doc_id", "b.pos", "b.type", "b.level", F.substring("b.text", 1, 200).alias("head"))
+    """All blocks of every page, whole: the navigation's list item, the lines, and the footer."""
+    blocks = _pages(spark, sf_dir).select("doc_id", F.explode(html_to_blocks(F.col("page"), NO_LIMITS)).alias("b"))
+    return blocks.select("doc_id", "b.pos", "b.type", "b.level", "b.text")
 
 
-HTML_BLOCKS_SQL = r"""
-with l as (select doc_id, ['Home'] || list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') || ['© 2026'] as b from documents),
-p as (select doc_id, unnest(range(0, len(b)))::int as pos, unnest(b) as t, len(b) as n from l)
-select doc_id, pos, case when pos = 0 then 'list-item' else 'paragraph' end as type, case when pos = 0 then 1 else 0 end as level, rtrim(left(t, 200), chr(0)) as head from p where pos < 600"""
+_PAGE_LINES = r"""
+    l as (select doc_id, ['Home'] || list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') || ['© 2026'] as b from documents)"""
+HTML_BLOCKS_SQL = f"""
+with {_PAGE_LINES}, p as (select doc_id, unnest(range(0, len(b)))::int as pos, unnest(b) as t from l)
+select doc_id, pos, case when pos = 0 then 'list-item' else 'paragraph' end as type, case when pos = 0 then 1 else 0 end as level, t as text from p"""
 
 
-def html_block_texts(spark, sf_dir: str) -> DataFrame:
-    """Blocks of every page with their whole text, of which the reader keeps 8,192 bytes; ``html_blocks`` gives and compares the first 200 characters."""
-    blocks = _pages(spark, sf_dir).select("doc_id", F.explode(html_to_blocks(F.col("page"))).alias("b"))
-    return blocks.select("doc_id", "b.pos", "b.type", "b.level", "b.text")
+def html_limited(spark, sf_dir: str) -> DataFrame:
+    """What is kept of every page, and cut, under the limits of a small reader: 600 blocks of 8,192 bytes."""
+    return _pages(spark, sf_dir).select("doc_id", html_losses(F.col("page")).alias("x")).select("doc_id", "x.kept", F.col("x.blocks").alias("blocks_cut"), F.col("x.texts").alias("texts_cut"))
+
+
+HTML_LIMITED_SQL = f"""
+with {_PAGE_LINES} select doc_id, least(len(b), 600)::int as kept, greatest(len(b) - 600, 0)::int as blocks_cut, len(list_filter(b, lambda t: strlen(t) > 8192))::int as texts_cut from l"""
 
 
 def page_article(spark, sf_dir: str) -> DataFrame:
@@ -52,20 +56,25 @@ def _documents(spark, sf_dir: str) -> DataFrame:
     paragraphs = F.array_join(F.transform(F.coalesce("blocks", F.array()), lambda b: F.concat(F.lit("<p>"), escaped(escaped(F.coalesce(b.text, F.lit("")))).cast("string"), F.lit("</p>"))), "")
     body = F.concat(F.lit("<description>"), F.replace(F.replace(paragraphs, F.lit("<p>"), F.lit("&lt;p&gt;")), F.lit("</p>"), F.lit("&lt;/p&gt;")), F.lit("</description>"))
     xml = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>"), escaped(F.coalesce("source_name", F.lit(""))), F.lit("</title><item>"), t("title", "title"), t("guid", "guid"), t("link", "link"), t("author", "author"), t("pubDate", "published_raw"), body, F.lit("</item></channel></rss>"))
-    return table(spark, sf_dir, "items").select("item_id", xml.alias("xml"))
+    return table(spark, sf_dir, "items").select("item_id", "title", xml.alias("xml"))
 
 
 def feed_parse(spark, sf_dir: str) -> DataFrame:
     """Items that were written as RSS and read again."""
-    read = feed_items(_documents(spark, sf_dir), "xml").select("item_id", "feed.format", F.get(F.col("feed.items"), 0).alias("i"))
-    return read.select("item_id", "format", "i.guid", "i.link", "i.published_raw", "i.content_source", "i.text_bytes")
+    read = feed_items(_documents(spark, sf_dir), "xml").select("item_id", F.col("title").alias("raw"), "feed.format", F.get(F.col("feed.items"), 0).alias("i"))
+    title = F.when(~F.coalesce(F.col("raw").rlike("[<&]"), F.lit(False)), F.col("i.title"))  # a title with markup is read as a page once more
+    return read.select("item_id", "format", "i.guid", "i.link", title.alias("title"), "i.author", "i.published_raw", "i.content_source", "i.text_bytes", F.array_join("i.blocks.text", "\n").alias("body"))
 
 
 FEED_PARSE_SQL = r"""
 with b as (select *, list_filter(list_transform(list_transform(coalesce(blocks, []), lambda x: coalesce(x.text, '')), lambda x: regexp_replace(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') as t from items),
-c as (select *, regexp_replace(guid, '^\s+|\s+$', '', 'g') as g, regexp_replace(link, '^\s+|\s+$', '', 'g') as l, regexp_replace(published_raw, '^\s+|\s+$', '', 'g') as p from b),
+w as (select *, regexp_replace(regexp_replace(coalesce(author, ''), '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') as a, regexp_replace(regexp_extract(a, '\((.*)\)', 1), '^ +| +$', '', 'g') as inner_name from b),
+c as (select *, regexp_replace(guid, '^\s+|\s+$', '', 'g') as g, regexp_replace(link, '^\s+|\s+$', '', 'g') as l, regexp_replace(published_raw, '^\s+|\s+$', '', 'g') as p from w),
 d as (select *, len(t) = 0 and regexp_replace(coalesce(title, ''), '[ \t\n\r\f\x0B]+', '', 'g') = '' as gone from c)
 select item_id, 'rss' as format, case when not gone then coalesce(g, '') end as guid, case when not gone then coalesce(l, '') end as link, case when not gone then nullif(p, '') end as published_raw,
+  case when not gone and not regexp_matches(coalesce(title, ''), '[<&]') then regexp_replace(regexp_replace(coalesce(title, ''), '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') end as title,
+  case when not gone then case when inner_name <> '' then inner_name when contains(a, '@') and not contains(a, ' ') then '' else a end end as author,
+  case when not gone then array_to_string(t, chr(10)) end as body,
   case when not gone then case when len(t) > 0 then 'summary' else 'none' end end as content_source, case when not gone then coalesce(list_sum(list_transform(t, lambda x: strlen(x))), 0)::bigint end as text_bytes from d"""
 
 
@@ -92,7 +101,7 @@ OPML_MERGE_SQL = "select url, source_name as title, section from feeds"
 
 QUERIES = {
     "html_blocks": (html_blocks, HTML_BLOCKS_SQL),
-    "html_block_texts": (html_block_texts, None),
+    "html_limited": (html_limited, HTML_LIMITED_SQL),
     "page_article": (page_article, None),
     "feed_parse": (feed_parse, FEED_PARSE_SQL),
     "parse_report": (parse_report, PARSE_REPORT_SQL),

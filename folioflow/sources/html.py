@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +17,6 @@ from folioflow.sources.markup import tokens
 DROPPED = frozenset("script style noscript iframe svg form button select template head object video audio canvas map aside".split())
 BREAKS = frozenset("div section article main header footer table tr td th tbody thead dl dt dd address figure center fieldset".split())
 INLINE = {t: f for f, tags in {1: "b strong", 2: "i em cite var dfn", 4: "code tt kbd samp", 8: "a"}.items() for t in tags.split()}
-MAX_BLOCKS, MAX_BLOCK_BYTES, MAX_RUNS, MAX_TOTAL = 600, 8192, 128, 256 * 1024
 
 RUN = StructType([StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("flags", ByteType())])
 BLOCK = StructType(
@@ -25,6 +26,19 @@ BLOCK = StructType(
 _BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What is kept of a page: blocks, bytes of a block's text, runs of a block, and bytes of text up to which rules and images are taken; None is no limit."""
+
+    blocks: int | None = 600
+    block_bytes: int | None = 8192
+    runs: int | None = 128
+    total_bytes: int | None = 256 * 1024
+
+
+NO_LIMITS = Limits(None, None, None, None)
+
+
 class _Open:
     """A block while it is read: pieces of text with the style they have."""
 
@@ -50,12 +64,14 @@ class _Open:
             self.pieces.append(("\n", 0))
             self.gap = False
 
-    def closed(self, keep: bool) -> tuple[str, list[tuple[int, int, int]]]:
+    def closed(self, keep: bool, limits: Limits, lost: Counter) -> tuple[str, list[tuple[int, int, int]]]:
         """Text and runs in bytes; white space at the ends goes, the last run ends with the text."""
         whole = "".join(p for p, _ in self.pieces)
         lead = len(whole) - len(whole.lstrip(" \t\n\r\f\v")) if keep else 0
         text = whole[lead:].rstrip(" \t\n\r\f\v" if keep else " ")
-        text = text.encode()[:MAX_BLOCK_BYTES].decode("utf-8", "ignore")
+        if limits.block_bytes is not None and len(raw := text.encode()) > limits.block_bytes:
+            text = raw[: limits.block_bytes].decode("utf-8", "ignore")
+            lost["texts"] += 1
         size, at, runs = len(text.encode()), -len(whole[:lead].encode()), []
         for piece, flags in self.pieces:
             start, at = at, at + len(piece.encode())
@@ -71,11 +87,17 @@ class _Open:
                 runs[-1][1] = b
             else:
                 runs.append([a, b, flags])
-        return text, [(a, b - a, f) for a, b, f in runs if f > 0][:MAX_RUNS]
+        kept = [(a, b - a, f) for a, b, f in runs if f > 0]
+        lost["runs"] += len(kept) - len(kept[: limits.runs])
+        return text, kept[: limits.runs]
+
 
+def html_blocks(html: str | None, limits: Limits = Limits(), lost: Counter | None = None) -> list[dict]:
+    """The blocks of a page. Null has none; whatever is malformed is read as far as it goes.
 
-def html_blocks(html: str | None) -> list[dict]:
-    """The blocks of a page. Null has none; whatever is malformed is read as far as it goes."""
+    ``lost`` counts what ``limits`` cut: ``blocks`` left out, ``texts`` shortened, ``runs`` and ``images`` (with rules) left out.
+    """
+    lost = Counter() if lost is None else lost
     out: list[dict] = []
     inline: list[str] = []
     lists: list[list] = []
@@ -83,13 +105,15 @@ def html_blocks(html: str | None) -> list[dict]:
     now: _Open | None = None
 
     def emit(kind: str, text: str, runs: list, level: int = 0, ordered: bool = False, index: int = 0, src: str | None = None) -> None:
-        if len(out) < MAX_BLOCKS:
+        if limits.blocks is not None and len(out) >= limits.blocks:
+            lost["blocks"] += 1
+        else:
             out.append({"pos": len(out), "type": kind, "level": level, "ordered": ordered, "list_index": index, "text": text, "runs": [{"start": a, "length": n, "flags": f} for a, n, f in runs], "src": src})
 
     def flush() -> None:
         nonlocal now, total
         if now is not None:
-            text, runs = now.closed(keep)
+            text, runs = now.closed(keep, limits, lost)
             total += len(text.encode())
             if text:
                 emit(now.kind, text, runs, now.level, now.ordered, now.index)
@@ -133,7 +157,9 @@ def html_blocks(html: str | None) -> list[dict]:
             if start:
                 flush()
                 src, alt = token[2].get("src", ""), _BLANK.sub(" ", token[2].get("alt", "")).strip(" ")
-                if total < MAX_TOTAL and (tag == "hr" or src or alt):
+                if limits.total_bytes is not None and total >= limits.total_bytes:
+                    lost["images"] += 1
+                elif tag == "hr" or src or alt:
                     emit("rule" if tag == "hr" else "image", "" if tag == "hr" else alt, [], src=src or None if tag == "img" else None)
         elif tag == "p":
             flush()
@@ -175,13 +201,31 @@ def html_blocks(html: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(BLOCK))
-def _blocks_udf(pages: pd.Series) -> pd.Series:
-    return pages.map(html_blocks)
+def html_to_blocks(page: Column, limits: Limits = Limits()) -> Column:
+    """The blocks of each page."""
+
+    @F.pandas_udf(ArrayType(BLOCK))
+    def blocks(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: html_blocks(p, limits))
+
+    return blocks(page)
+
+
+_LOST = ("blocks", "texts", "runs", "images")
+
+
+def html_losses(page: Column, limits: Limits = Limits()) -> Column:
+    """What the limits cut from each page: struct(kept, blocks, texts, runs, images), the first the number of blocks kept."""
 
+    @F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("kept", *_LOST)]))
+    def losses(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in pages:
+            lost: Counter = Counter()
+            rows.append((len(html_blocks(p, limits, lost)), *[lost[c] for c in _LOST]))
+        return pd.DataFrame(rows, columns=["kept", *_LOST], dtype="int32")
 
-def html_to_blocks(page: Column) -> Column:
-    return _blocks_udf(page)
+    return losses(page)
 
 
 def plain_text(blocks: list[dict], most: int) -> str:

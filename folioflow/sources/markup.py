@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.entities import html5
 
 _NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and len(k) <= 33}
 _FOLDED = {k.lower(): v for k, v in reversed(list(_NAMES.items()))}
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]{0,30});")
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<![^>]*>"
-    r"|<(?P<end>/)?(?P<name>[A-Za-z_][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S,
-)
+_ASIDE = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)", re.S)
+_NAME = re.compile(r"</?([A-Za-z_][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -47,31 +44,69 @@ def decode_bytes(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+class _TagEnds:
+    """Where the tag that begins at a place ends: at the next ``>`` that isn't quoted. All ends are found in one pass from the back, so reading is linear."""
+
+    def __init__(self, text: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", text)]
+        self.end = [-1] * (len(self.at) + 1)  # reading on from each sign, outside of quotes
+        following = {'"': -1, "'": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            sign = text[self.at[i]]
+            if sign == ">":
+                self.end[i] = self.at[i]
+                continue
+            if following[sign] >= 0:
+                self.end[i] = self.end[following[sign] + 1]
+            following[sign] = i
+
+    def after(self, at: int) -> int:
+        """The place of the ``>``, or -1."""
+        return self.end[bisect_left(self.at, at)]
+
+
 def tokens(text: str, raw_tags: frozenset[str] = frozenset()) -> Iterator[tuple]:
     """("start", name, attributes, closed), ("end", name) and ("text", text) in order; names in lower case.
 
-    The content of a tag in ``raw_tags`` is passed over up to its literal end tag. A lone ``<`` is text.
+    The content of a tag in ``raw_tags`` is passed over up to its literal end tag. A ``<`` that begins no tag is text. Time grows with the length
+    of the text, whatever it holds.
     """
-    at = 0
-    while m := _TOKEN.match(text, at):
-        at = m.end()
-        if m["text"] is not None:
-            yield "text", decode_entities(m["text"])
-        elif m["cdata"] is not None:
-            yield "text", m["cdata"]
-        elif m["name"]:
-            name = m["name"].lower()
-            if m["end"]:
-                yield "end", name
-                continue
-            rest = m["rest"]
-            closed = rest.endswith("/")
-            if name in raw_tags:
-                if not closed:
-                    stop = re.compile(f"</{re.escape(name)}>", re.I).search(text, at)
-                    at = stop.end() if stop else len(text)
+    at, size, ends = 0, len(text), _TagEnds(text)
+    while at < size:
+        if text[at] != "<":
+            stop = text.find("<", at)
+            stop = size if stop < 0 else stop
+            yield "text", decode_entities(text[at:stop])
+            at = stop
+            continue
+        if m := _ASIDE.match(text, at):
+            at = m.end()
+            if m["cdata"] is not None:
+                yield "text", m["cdata"]
+            continue
+        if text.startswith("<!", at):
+            stop = ends.at[-1] if ends.at else -1
+            if stop > at and (close := text.find(">", at)) >= 0:
+                at = close + 1
                 continue
-            attributes: dict[str, str] = {}
-            for key, a, b, c in _ATTRIBUTE.findall(rest.rstrip("/") if closed else rest):
-                attributes.setdefault(key.lower(), decode_entities(a or b or c))
-            yield "start", name, attributes, closed
+        stop = ends.after(at)
+        m = _NAME.match(text, at, stop) if stop >= 0 else None
+        if m is None:
+            yield "text", "<"
+            at += 1
+            continue
+        name, rest = m.group(1).lower(), text[m.end() : stop]
+        at = stop + 1
+        if text[m.start() + 1] == "/":
+            yield "end", name
+            continue
+        closed = rest.endswith("/")
+        if name in raw_tags:
+            if not closed:
+                found = re.compile(f"</{re.escape(name)}>", re.I).search(text, at)
+                at = found.end() if found else size
+            continue
+        attributes: dict[str, str] = {}
+        for key, a, b, c in _ATTRIBUTE.findall(rest.rstrip("/") if closed else rest):
+            attributes.setdefault(key.lower(), decode_entities(a or b or c))
+        yield "start", name, attributes, closed

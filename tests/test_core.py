@@ -1,6 +1,8 @@
 """Closed forms against plain sequential models, readers against cases, and the shape of the entry points."""
 
 import random
+import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -146,8 +148,34 @@ def test_html_runs_are_bytes_and_caps_hold():
     (b,) = html.html_blocks("<p>é <b>bold <i>both</i></b> x</p>")
     raw = b["text"].encode()
     assert [(raw[r["start"] : r["start"] + r["length"]].decode(), r["flags"]) for r in b["runs"]] == [("bold", 1), ("both", 3)]
-    assert len(html.html_blocks("<p>x" * 2000)) == html.MAX_BLOCKS
-    assert len(html.html_blocks("<p>" + "é" * 9000)[0]["text"].encode()) == html.MAX_BLOCK_BYTES
+    limits, lost = html.Limits(), Counter()
+    assert len(html.html_blocks("<p>x" * 2000, limits, lost)) == limits.blocks and lost["blocks"] == 1400
+    assert len(html.html_blocks("<p>" + "é" * 9000, limits, lost)[0]["text"].encode()) == limits.block_bytes and lost["texts"] == 1
+    assert len(html.html_blocks("<p>x" * 700, html.NO_LIMITS)) == 700
+    assert html.html_blocks("<p>" + "é" * 5000 + "<img alt=x>" * 700, html.NO_LIMITS)[0]["text"] == "é" * 5000
+
+
+@pytest.mark.parametrize("page", ["<a b ", "<a '", "<a \"'", "<!", "<!-", "<![CDATA[", "<a", "<script>", "<p>&am", "</", "<a b=' <a c=\" >"])
+def test_reading_takes_time_in_proportion(page):
+    """Ten times the text takes about ten times as long, and not a hundred; a quadratic reader would take minutes."""
+    start = time.process_time()
+    list(markup.tokens(page * 30_000))
+    assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(
+    ("text", "read"),
+    [
+        ("<a b='x>y' c>t", [("start", "a", {"b": "x>y", "c": ""}, False), ("text", "t")]),
+        ("<a b='x>y", [("text", "<"), ("text", "a b='x>y")]),
+        ("1 < 2 <b/>", [("text", "1 "), ("text", "<"), ("text", " 2 "), ("start", "b", {}, True)]),
+        ("<!doctype x><!-- a > b --></B >", [("end", "b")]),
+        ("<![CDATA[<i>]]>&lt;", [("text", "<i>"), ("text", "<")]),
+        ("<! x", [("text", "<"), ("text", "! x")]),
+    ],
+)
+def test_tokens(text, read):
+    assert list(markup.tokens(text)) == read
 
 
 def test_whole_texts_come_back(spark, tmp_path):
@@ -155,11 +183,9 @@ def test_whole_texts_come_back(spark, tmp_path):
 
     texts = ["Short\n" + "Long line É & <tag>. " * 40 + "end", "x" + "é" * 9000, "A\n\n  b  "]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    cut = lambda t: t.encode()[: html.MAX_BLOCK_BYTES].decode(errors="ignore")
-    want = {(k, n, cut(line)) for k, t in enumerate(texts) for n, line in enumerate(["Home", *filter(None, (" ".join(x.split()) for x in t.split("\n"))), "© 2026"])}
-    assert {(r.doc_id, r.pos, r.text) for r in e.queries()["html_block_texts"](spark, str(tmp_path)).collect()} == want
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    assert {(r.doc_id, r.lowered) for r in e.queries()["string_lowered"](spark, str(tmp_path)).collect()} == {(k, t.translate(lower)) for k, t in enumerate(texts)}
+    want = {(k, n, line) for k, t in enumerate(texts) for n, line in enumerate(["Home", *filter(None, (" ".join(x.split()) for x in t.split("\n"))), "© 2026"])}
+    assert {(r.doc_id, r.pos, r.text) for r in e.queries()["html_blocks"](spark, str(tmp_path)).collect()} == want
+    assert {(r.doc_id, r.kept, r.blocks_cut, r.texts_cut) for r in e.queries()["html_limited"](spark, str(tmp_path)).collect()} == {(0, 4, 0, 0), (1, 3, 0, 1), (2, 4, 0, 0)}
 
 
 def test_links_find_their_latest_document(spark, tmp_path):
