@@ -148,33 +148,45 @@ r as (select item_id, first::int as first, least(-best.p, first + 399)::int as l
 select r.* from r where exists (select 1 from s where s.item_id = r.item_id and s.pos between r.first and r.last and s.type = 'paragraph' and s.n >= 90)"""
 
 
-def article_enrich(spark, sf_dir: str) -> DataFrame:
-    """The newest truncated items with a link get the number of documents and the last crawl of their source; ``article_documents`` looks links up."""
-    items = table(spark, sf_dir, "items").filter((F.col("truncation") != "none") & (F.col("link") != "")).select("item_id", "link", "published", "source_name")
-    top = items.orderBy(F.col("published").desc_nulls_last(), "item_id").limit(500)
-    documents = table(spark, sf_dir, "documents").select("source", "n_chars", "crawled_at")
-    latest = documents.join(bounded_broadcast(top.select(F.col("source_name").alias("source")).distinct()), "source", "left_semi").groupBy("source").agg(F.count("*").alias("documents"), F.max("crawled_at").alias("crawled_at"))
-    return top.join(latest, top.source_name == latest.source, "left").select("item_id", "published", "source_name", "documents", "crawled_at")
-
-
-ARTICLE_ENRICH_SQL = """
-with t as (select item_id, published, source_name from items where truncation <> 'none' and link <> '' order by published desc nulls last, item_id limit 500),
-d as (select source, count(*) as documents, max(crawled_at) as crawled_at from documents group by 1)
-select t.*, documents, crawled_at from t left join d on source = source_name"""
-
-
 def _address(url: Column) -> Column:
     """The address without fragment, with scheme, host and port made equal; null for what is none."""
     parts = url_parts(trim_ws(F.regexp_replace(url, r"(?s)#.*$", "")))
     return F.when(parts.host.isNotNull(), F.concat_ws(" ", parts.secure.cast("string"), parts.host, parts.port.cast("string"), parts.path))
 
 
-def article_documents(spark, sf_dir: str) -> DataFrame:
-    """Every truncated item with a link, with the latest crawled document of that address, if there is one."""
-    items = table(spark, sf_dir, "items").filter((F.col("truncation") != "none") & (F.col("link") != "")).select("item_id", "link", "published", _address(F.col("link")).alias("address"))
-    documents = table(spark, sf_dir, "documents").select(_address(F.col("url")).alias("address"), "doc_id", "crawled_at").filter("address is not null")
-    latest = documents.groupBy("address").agg(F.max(F.struct("crawled_at", "doc_id")).alias("d"))
-    return items.join(latest, "address", "left").select("item_id", "link", "published", "d.doc_id", "d.crawled_at")
+def enriched(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """``items`` whose text was cut, with the latest crawled document of their link: ``doc_id``, ``crawled_at`` and ``paragraphs``.
+
+    ``paragraphs`` are the document's, or the item's own block texts where no document of that address was crawled. Addresses are equal without
+    their fragment and with default ports; an item without a link, or with one that is no address, keeps its own text. Both sides are joined by address, of which
+    the documents' side has one row each.
+    """
+    wanted = items.filter(F.col("truncation") != "none").select("item_id", "blocks", _address(F.col("link")).alias("address"))
+    found = documents.select(_address(F.col("url")).alias("address"), "doc_id", "crawled_at", "text").filter("address is not null")
+    latest = found.groupBy("address").agg(F.max_by(F.struct("doc_id", "crawled_at", "text"), F.struct("crawled_at", "doc_id")).alias("d"))
+    own = F.transform(F.filter(F.coalesce("blocks", F.array()), lambda b: F.coalesce(b.text, F.lit("")) != ""), lambda b: b.text)
+    return wanted.join(latest, "address", "left").select("item_id", "d.doc_id", "d.crawled_at", F.coalesce(text_to_blocks(F.col("d.text")), own).alias("paragraphs"))
+
+
+def article_enrich(spark, sf_dir: str) -> DataFrame:
+    """Every truncated item with the latest document of its link, if one was crawled, and the text it then has."""
+    done = enriched(table(spark, sf_dir, "items"), table(spark, sf_dir, "documents"))
+    return done.select("item_id", "doc_id", "crawled_at", F.size("paragraphs").alias("paragraphs"), F.array_join("paragraphs", "\n").alias("text"))
+
+
+_ADDRESS = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:@]+)(?::([0-9]+))?([/?].*)?$"
+ARTICLE_ENRICH_SQL = rf"""
+with a as (select doc_id, crawled_at, text, regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '{_ADDRESS}', ['s', 'h', 'p', 'r']) as x from documents where url is not null),
+d as (select arg_max({{'doc_id': doc_id, 'crawled_at': crawled_at, 'text': text}}, (crawled_at, doc_id)) as d, lower(x.s) as s, lower(x.h) as h, coalesce(nullif(x.p, ''), case when lower(x.s) = 'https' then '443' else '80' end) as p, x.r as r
+  from a where x.h <> '' group by all),
+i as (select item_id, list_filter(list_transform(coalesce(blocks, []), lambda b: b.text), lambda t: t <> '') as own, regexp_extract(regexp_replace(trim(link), '(?s)#.*$', ''), '{_ADDRESS}', ['s', 'h', 'p', 'r']) as x from items where truncation <> 'none'),
+j as (select item_id, d.doc_id as doc_id, d.crawled_at as crawled_at, coalesce(list_filter(list_transform(regexp_split_to_array(d.text, '
+[ 	]*
+'),
+  lambda x: regexp_replace(regexp_replace(x, '[ 	
+]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), own) as t
+  from i left join d on x.h <> '' and s = lower(x.s) and h = lower(x.h) and r = x.r and p = coalesce(nullif(x.p, ''), case when lower(x.s) = 'https' then '443' else '80' end))
+select item_id, doc_id, crawled_at, len(t)::int as paragraphs, array_to_string(t, chr(10)) as text from j"""
 
 
 def item_text(spark, sf_dir: str) -> DataFrame:
@@ -280,7 +292,6 @@ QUERIES = {
     "truncation_report": (truncation_report, TRUNCATION_REPORT_SQL),
     "text_to_blocks": (document_blocks, DOCUMENT_BLOCKS_SQL),
     "extract_article": (extract_article, EXTRACT_ARTICLE_SQL),
-    "article_documents": (article_documents, None),
     "article_enrich": (article_enrich, ARTICLE_ENRICH_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL),
     "string_normalise": (string_normalise, STRING_NORMALISE_SQL),

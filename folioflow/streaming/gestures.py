@@ -1,82 +1,96 @@
-"""Touches of devices to gestures, as a stateful stream and as a plain function of samples."""
+"""Touches of devices to gestures, as a stateful stream.
+
+Samples of a device are cut into stretches of contact and of none. A stretch of contact is one touch, whose start, last place and longest way
+are taken over all its samples at once; its gesture follows from these by one expression. Between batches only the
+touch that is still going on is kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.session import shared_folder, table
 
+# Pixels of a swipe and of a finger held still; milliseconds of a press, of the longest swipe, and between two touches.
 SWIPE_PX, SLOP_PX, PRESS_MS, SWIPE_MS, DEBOUNCE_MS = 44, 18, 650, 900, 120
 OUT = "device string, at_ms bigint, gesture string, x int, y int"
-STATE = "down boolean, fired boolean, released bigint, start_ms bigint, start_x int, start_y int, last_x int, last_y int, travel int"
-
-
-@dataclass
-class Touch:
-    """What is known of a device's current touch; ``released`` is when its last accepted one ended."""
-
-    down: bool = False
-    fired: bool = False
-    released: int = -1
-    start_ms: int = 0
-    start_x: int = 0
-    start_y: int = 0
-    last_x: int = 0
-    last_y: int = 0
-    travel: int = 0
-
-    def sample(self, touching: bool, x: int, y: int, now: int) -> str | None:
-        """The gesture that a sample completes."""
-        if touching and not self.down:
-            if self.released < 0 or now - self.released >= DEBOUNCE_MS:
-                self.down, self.fired, self.travel, self.start_ms = True, False, 0, now
-                self.start_x = self.last_x = x
-                self.start_y = self.last_y = y
-            return None
-        if touching:
-            self.last_x, self.last_y = x, y
-            self.travel = max(self.travel, abs(x - self.start_x) + abs(y - self.start_y))
-            if not self.fired and self.travel <= SLOP_PX and now - self.start_ms >= PRESS_MS:
-                self.fired = True
-                return "long-press"
-            return None
-        if not self.down:
-            return None
-        self.down, self.released = False, now
-        return None if self.fired else self._released(now)
-
-    def _released(self, now: int) -> str | None:
-        dx, dy = self.last_x - self.start_x, self.last_y - self.start_y
-        far, along = max(abs(dx), abs(dy)), abs(dx) > abs(dy)
-        if far > SWIPE_PX and now - self.start_ms > SWIPE_MS:
-            return None  # a drag that was thought better of
-        if far < SWIPE_PX:
-            return "tap"
-        return ("swipe-left" if dx < 0 else "swipe-right") if along else ("swipe-up" if dy < 0 else "swipe-down")
-
-
-def recognise(touch: Touch, device: str, samples: pd.DataFrame) -> list[tuple]:
-    """Gestures of one device's samples in order of time; samples with nulls are passed over."""
+STATE = "going boolean, since bigint, x int, y int, to_x int, to_y int, way int, pressed boolean, free_from bigint"
+DIRECTIONS = {(True, False): "swipe-right", (True, True): "swipe-left", (False, False): "swipe-down", (False, True): "swipe-up"}
+
+
+class Touch(NamedTuple):
+    """A touch so far: when and where it began, where it is, its longest way from there, and whether it was a press already."""
+
+    since: int
+    x: int
+    y: int
+    to_x: int
+    to_y: int
+    way: int = 0
+    pressed: bool = False
+
+
+def seen_until(touch: Touch | None, free_from: int, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[Touch | None, int | None]:
+    """The touch after more samples of one stretch of contact, and when it became a press, if it did now; samples before ``free_from`` begin none."""
+    if touch is None:
+        k = int(np.searchsorted(t, free_from))
+        if k == len(t):
+            return None, None
+        touch = Touch(int(t[k]), int(x[k]), int(y[k]), int(x[k]), int(y[k]))
+        t, x, y = t[k + 1 :], x[k + 1 :], y[k + 1 :]
+    if len(t) == 0:
+        return touch, None
+    way = np.maximum(np.maximum.accumulate(abs(x - touch.x) + abs(y - touch.y)), touch.way)
+    still = np.flatnonzero((way <= SLOP_PX) & (t - touch.since >= PRESS_MS))
+    now = int(t[still[0]]) if len(still) and not touch.pressed else None
+    return touch._replace(to_x=int(x[-1]), to_y=int(y[-1]), way=int(way[-1]), pressed=touch.pressed or now is not None), now
+
+
+def gesture_of(touch: Touch, ended: int) -> str | None:
+    """What a touch that ended was: a tap where it led nowhere, a swipe where it was quick; a press was told before, a slow drag is nothing."""
+    dx, dy = touch.to_x - touch.x, touch.to_y - touch.y
+    far = max(abs(dx), abs(dy))
+    if touch.pressed or far > SWIPE_PX and ended - touch.since > SWIPE_MS:
+        return None
+    sideways = abs(dx) > abs(dy)
+    return "tap" if far < SWIPE_PX else DIRECTIONS[sideways, (dx if sideways else dy) < 0]
+
+
+def recognise(device: str, samples: pd.DataFrame, touch: Touch | None = None, free_from: int = -(2**62)) -> tuple[list[tuple], Touch | None, int]:
+    """(gestures, touch still going on, when the next may begin) of one device's samples; samples with nulls are passed over."""
+    rows = samples.dropna().sort_values("ts_ms", kind="stable")
+    t, x, y, on = (rows[c].to_numpy(kind) for c, kind in (("ts_ms", np.int64), ("x", np.int64), ("y", np.int64), ("touching", bool)))
     found = []
-    for s in samples.dropna().sort_values("ts_ms", kind="stable").itertuples():
-        gesture = touch.sample(bool(s.touching), int(s.x), int(s.y), int(s.ts_ms))
-        if gesture:
-            found.append((device, int(s.ts_ms), gesture, touch.start_x, touch.start_y))
-    return found
+    bounds = [0, *(np.flatnonzero(on[1:] != on[:-1]) + 1).tolist(), len(t)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a == b:
+            continue
+        if on[a]:
+            touch, pressed_at = seen_until(touch, free_from, t[a:b], x[a:b], y[a:b])
+            told = [(pressed_at, "long-press")] if pressed_at is not None else []
+        else:
+            told = [(int(t[a]), g)] if touch and (g := gesture_of(touch, int(t[a]))) else []
+            free_from = int(t[a]) + DEBOUNCE_MS if touch else free_from
+        found += [(device, at, gesture, touch.x, touch.y) for at, gesture in told]
+        if not on[a]:
+            touch = None
+    return found, touch, free_from
 
 
 def gesture_stream(touches: DataFrame) -> DataFrame:
     """Gestures of a stream of (device, ts_ms, touching, x, y); the touch in progress is the state of a device."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        touch = Touch(*state.get) if state.exists else Touch()
-        found = recognise(touch, key[0], pd.concat(batches))
-        state.update(tuple(vars(touch).values()))
+        going, *kept, free_from = state.get if state.exists else (False, -(2**62))
+        # what came of one device in one micro-batch, which the stream's trigger bounds: order needs all of it
+        found, touch, free_from = recognise(key[0], pd.concat(batches), Touch(*kept) if going else None, free_from)
+        state.update((touch is not None, *(touch or Touch(0, 0, 0, 0, 0)), free_from))
         yield pd.DataFrame(found, columns=["device", "at_ms", "gesture", "x", "y"])
 
     return touches.groupBy("device").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")

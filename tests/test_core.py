@@ -5,6 +5,7 @@ import time
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from folioflow.operators.ordering import ranked, running, sequenced, with_previo
 from folioflow.operators.selection import fair_budget, first_printed, item_key, page_budget, reading_order, section_order
 from folioflow.sources import feeds, html, http, markup
 from folioflow.sources.store import read_index, story_pages, write_edition
-from folioflow.streaming.gestures import Touch, gesture_stream
+from folioflow.streaming.gestures import gesture_stream, recognise
 from folioflow.session import shared_folder
 from folioflow.streaming.state_table import StateTable
 
@@ -188,14 +189,15 @@ def test_whole_texts_come_back(spark, tmp_path):
     assert {(r.doc_id, r.kept, r.blocks_cut, r.texts_cut) for r in e.queries()["html_limited"](spark, str(tmp_path)).collect()} == {(0, 4, 0, 0), (1, 3, 0, 1), (2, 4, 0, 0)}
 
 
-def test_links_find_their_latest_document(spark, tmp_path):
-    import __spark_entry__ as e
+def test_links_find_their_latest_document(spark):
+    from folioflow.operators.content import enriched
 
-    links = [(1, "HTTPS://A.example/x#top"), (2, "https://a.example/y"), (3, "none"), (4, " http://a.example/x")]
-    spark.createDataFrame([(k, x, datetime(2026, 1, k), "cut") for k, x in links], "item_id bigint, link string, published timestamp_ntz, truncation string").write.parquet(f"{tmp_path}/items.parquet")
-    pages = [(7, "https://a.example:443/x", datetime(2026, 2, 1)), (8, "https://a.example/x", datetime(2026, 2, 2)), (9, "https://a.example/z", datetime(2026, 2, 3)), (10, None, None)]
-    spark.createDataFrame(pages, "doc_id bigint, url string, crawled_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r.item_id, r.doc_id) for r in e.queries()["article_documents"](spark, str(tmp_path)).collect()} == {(1, 8), (2, None), (3, None), (4, None)}
+    links = [(1, "HTTPS://A.example/x#top", "cut"), (2, "https://a.example/y", "cut"), (3, "none", "cut"), (4, " http://a.example/x", "cut"), (5, None, "cut"), (6, "https://a.example/x", "none")]
+    items = spark.createDataFrame([(k, x, t, [block("own"), block("")]) for k, x, t in links], f"item_id bigint, link string, truncation string, blocks {BLOCKS}")
+    pages = [(7, "https://a.example:443/x", datetime(2026, 2, 1), "old"), (8, "https://a.example/x", datetime(2026, 2, 2), "one\n\ntwo"), (9, "https://a.example/z", datetime(2026, 2, 3), "z"), (10, None, None, None)]
+    documents = spark.createDataFrame(pages, "doc_id bigint, url string, crawled_at timestamp_ntz, text string")
+    got = {r.item_id: (r.doc_id, r.paragraphs) for r in enriched(items, documents).collect()}
+    assert got == {1: (8, ["one", "two"]), 2: (None, ["own"]), 3: (None, ["own"]), 4: (None, ["own"]), 5: (None, ["own"])}
 
 
 RSS = """<?xml version="1.0"?><rss><channel><title>The &amp; Feed</title><image><title>no</title></image>
@@ -254,18 +256,33 @@ def test_hyphens_and_pages():
     pages = layout.paginate(flow, 2, layout.Hyphenator(layout.rule_patterns()))
     assert len(pages) > 2 and all(top + 36 <= layout.PAGE_HEIGHT for p in pages for _, top in p)
     assert layout.paginate([]) == []
+    words = "to be set in"
+    for align, first, last in (("left", 0, None), ("right", None, 300), ("justify", 0, 300)):
+        placed = layout.place_words(words, 300, 36, align)
+        assert [w for w, _ in placed] == words.split() and (first is None or placed[0][1] == first)
+        assert last is None or abs(placed[-1][1] + layout.advance("in", 36) - last) <= 1
+    assert layout.place_words(words, 300, 36, "justify", last=True) == layout.place_words(words, 300, 36)
 
 
 def test_gestures(spark):
     def run(samples):
-        touch = Touch()
-        return [g for s in samples if (g := touch.sample(*s))]
+        """The gestures, the same whether the samples come at once or one by one."""
+        frame = pd.DataFrame(samples, columns=["touching", "x", "y", "ts_ms"])
+        whole, state, one_by_one = [g for _, _, g, _, _ in recognise("d", frame)[0]], (None, -(2**62)), []
+        for k in range(len(frame)):
+            found, *state = recognise("d", frame.iloc[k : k + 1], *state)
+            one_by_one += [g for _, _, g, _, _ in found]
+        assert one_by_one == whole
+        return whole
 
     assert run([(True, 0, 0, 0), (False, 0, 0, 50)]) == ["tap"]
     assert run([(True, 0, 0, 0), (True, 0, 0, 700), (False, 0, 0, 800)]) == ["long-press"]
     assert run([(True, 0, 0, 0), (True, 60, 5, 100), (False, 0, 0, 110)]) == ["swipe-right"]
     assert run([(True, 0, 0, 0), (True, 60, 5, 950), (False, 0, 0, 1000)]) == []
     assert run([(True, 0, 0, 0), (False, 0, 0, 50), (True, 0, 0, 100), (False, 0, 0, 150)]) == ["tap"]
+    assert run([(True, 0, 0, 0), (False, 0, 0, 50), (True, 0, 0, 160), (True, 0, 0, 175), (True, 0, -50, 200), (False, 0, 0, 210), (False, 0, 0, 300)]) == ["tap", "swipe-up"]
+    assert run([(True, 0, 0, 0), (True, 20, 0, 100), (True, 0, 0, 700), (True, None, 0, 750), (False, 0, 0, 800)]) == ["tap"]
+    assert run([]) == []
     folder = shared_folder(spark, "touches")
     schema = "device string, ts_ms bigint, touching boolean, x int, y int"
     for part in ([("d", 0, True, 0, 0), ("d", 100, True, 0, -60)], [("d", 120, False, 0, 0), ("e", 0, False, 1, 1)]):
