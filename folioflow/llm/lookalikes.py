@@ -1,21 +1,25 @@
 """Text that looks the same but is made of other characters.
 
 ``skeleton`` follows the confusables method: decompose, replace every character by the prototype of its look-alikes,
-decompose again; texts that look alike have one skeleton. ``plain`` is the consistent form that text is brought to: only
-characters that stand in for ordinary ones, or hide between them, are replaced, so whole words of another script and
-signs that look different on purpose stay.
+decompose again; texts that look alike have one skeleton. Words of the corpus are grouped by equal skeleton, and the form that a group
+has chosen, its most frequent one in letters of a single script, is the ordinary form of all words in it. ``plain`` is the consistent form that text
+is brought to: a word takes its group's form, or where the corpus knows none, the prototypes of its main script; a character that hides between
+others, or is a wide or fancy variant, takes its prototype. Whole words of another script and signs that look different on purpose stay.
+
+Prototypes come from three rules over the Unicode character database (hidden characters, compatibility variants, small capitals) and a list of
+letter pairs; ``read_confusables`` takes more of them from a file in the public format of confusable characters.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from folioflow.llm import encoding
 from folioflow.llm.fields import values_of, with_texts
@@ -26,14 +30,41 @@ _CYRILLIC = "аеорсухѕіјһԁԛԝӏѵёїАВЕЅІЈКМНОРСТУХ
 _AS_LATIN = "aeopcyxsijhdqwlvëïABESIJKMHOPCTYXYGËÏ"
 _GREEK = "αγικνορυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 _GREEK_AS_LATIN = "ayikvopuxABEZHIKMNOPTYX"
-_OTHERS = "ɡɑօոսհѡ"
-_OTHERS_AS_LATIN = "gaonuhw"
+_OTHERS = "ɡɑցհյոսօզԼՏՍՕ" + "ⲟⲣⲥⲞⲢⲤⲎⲔⲘⲚⲦⲬ" + "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏙᏚᏞᏟᏢᏦᏧᏴ" + "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" + "𐐄𐐬"
+_OTHERS_AS_LATIN = "gaghjnuoqLSUO" + "opcOPCHKMNTX" + "DRTAJEWMHYGZbRVSLCPKdB" + "BPDTGKJCZFMNLSRVHWXYAEIOU" + "Oo"
+# Letters of Latin alphabets that look like others; what they are is told by their groups only.
+_LATIN_TWINS = {"ı": "i", "ȷ": "j", "ſ": "f", "ƒ": "f", "ꞵ": "ß", "ǃ": "!", "ɩ": "i", "ʋ": "v"}
 # Characters without width or with an effect on nothing here.
 _HIDDEN = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _SPACES = "               　"
 
 TO_LATIN = dict(zip(_CYRILLIC + _GREEK + _OTHERS, _AS_LATIN + _GREEK_AS_LATIN + _OTHERS_AS_LATIN, strict=True))
+TO_LATIN |= {
+    chr(k): (c.lower() if c in "COSUVWXZ" else c)
+    for k in range(0x250, 0x1E00)
+    if (name := unicodedata.name(chr(k), "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(c := name.rsplit(" ", 1)[-1]) == 1
+}  # small capitals
 TO_CYRILLIC = dict(zip(_AS_LATIN, _CYRILLIC, strict=True))
+MORE: dict[str, str] = {}  # prototypes of further characters, for skeletons
+
+
+def read_confusables(lines: Iterable[str]) -> dict[str, str]:
+    """Prototypes from lines ``source ; prototype ; class # comment`` of hexadecimal code points; other lines are passed over."""
+    found = {}
+    for line in lines:
+        parts = [p.strip() for p in line.split("#")[0].split(";")]
+        if len(parts) >= 2 and all(re.fullmatch(r"[0-9A-Fa-f]{4,6}( [0-9A-Fa-f]{4,6})*", p) for p in parts[:2]):
+            source, target = ("".join(chr(int(x, 16)) for x in p.split()) for p in parts[:2])
+            if len(source) == 1:
+                found[source] = target
+    return found
+
+
+def _java_class(chars: Iterable[str]) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars))) + "]"
+
+
+_STANDING = _java_class(TO_LATIN)
 
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(rf"(?:[^\W\d_]|[̀-ͯ{_HIDDEN}])+")
@@ -44,9 +75,9 @@ _JOINING = re.compile(r"[֐-෿က-႟]")  # scripts in which joiners and marks
 # What a text must hold to hold a case, as Java patterns; every text without it is in plain form already.
 _ODD = (
     rf"(?=[^\x{{00}}-\x{{7f}}])(?:[{_HIDDEN}{_SPACES}\x{{300}}-\x{{36f}}\x{{ff01}}-\x{{ffee}}\x{{fb00}}-\x{{fb06}}\x{{2160}}-\x{{217f}}\x{{2126}}\x{{212a}}\x{{212b}}\x{{37e}}\x{{387}}\x{{1d400}}-\x{{1d7ff}}]"
-    r"|[Ͱ-ϿЀ-ԯա-ևɑɡ](?:[a-zA-ZÀ-ɏ]|(?<=[a-zA-ZÀ-ɏ].)))"
+    rf"|[Ͱ-ϿЀ-ԯ{_STANDING[1:-1]}{''.join(_LATIN_TWINS)}](?:[a-zA-ZÀ-ɏ]|(?<=[a-zA-ZÀ-ɏ].)))"
 )
-_LONELY = rf"(?=[^\x{{00}}-\x{{7f}}])[{_CYRILLIC}{_GREEK}](?<!\p{{L}}.)[{_CYRILLIC}{_GREEK}]*(?!\p{{L}})"
+_LONELY = rf"(?=[^\x{{00}}-\x{{7f}}]){_STANDING}(?<!\p{{L}}.){_STANDING}*(?!\p{{L}})"
 # Letters of these scripts that look like no Latin one: a text that holds one has words of another script.
 _OWN = rf"[\x{{370}}-\x{{3ff}}\x{{400}}-\x{{52f}}&&\p{{L}}&&[^{_CYRILLIC}{_GREEK}]]"
 
@@ -63,7 +94,7 @@ def prototype(c: str) -> str:
         return " "
     if "！" <= c <= "～" or "￠" <= c <= "￦" or "ﬀ" <= c <= "ﬆ" or "Ⅰ" <= c <= "ⅿ" or "\U0001d400" <= c <= "\U0001d7ff":
         return unicodedata.normalize("NFKC", c)
-    return TO_LATIN.get(c, c)
+    return TO_LATIN.get(c) or _LATIN_TWINS.get(c) or MORE.get(c, c)
 
 
 def skeleton(text: str) -> str:
@@ -100,28 +131,51 @@ def _foreign(word: str) -> dict[str, str]:
 def _stand_ins(words: list[str]) -> tuple[list[str], int]:
     """Words wholly of look-alikes, and the letters of the Latin words beside them; no words where others are of another script."""
     latin = sum(len(w) for w in words if all(_script(c) == "latin" for c in w if _LETTER.match(c)))
-    odd = [w for w in words if any(_script(c) in ("cyrillic", "greek") for c in w)]
+    odd = [w for w in words if any(c in TO_LATIN or _script(c) in ("cyrillic", "greek") for c in w)]
     whole = [w for w in odd if all(c in TO_LATIN for c in w)]
     if len(odd) != len(whole) + sum(bool(_foreign(w)) for w in odd):
         return [], latin
     return whole, latin
 
 
-def _latin(word: str) -> str:
-    return "".join(TO_LATIN[c] for c in word)
+def latin_form(word: str) -> str:
+    """The word with every look-alike as the Latin letter."""
+    return "".join(TO_LATIN.get(c) or _LATIN_TWINS.get(c, c) for c in word)
+
 
+def cyrillic_form(word: str) -> str:
+    """The word with every look-alike as the Cyrillic letter."""
+    return "".join(TO_CYRILLIC.get(TO_LATIN.get(c, c), c) for c in word)
 
-def _lonely(text: str, words: list[str], twins: frozenset[str] = frozenset()) -> dict[str, str]:
-    """Words wholly of look-alikes in a text whose other words are Latin: short ones, and longer ones of ``twins``."""
+
+def _swaps(words: list[str], chosen: dict[str, str]) -> dict[str, str]:
+    """What the words of a text are in ordinary letters, where that is something else.
+
+    ``chosen`` has the forms of skeleton groups. A word of mixed scripts without one takes the prototypes of its main script; one wholly of look-alikes
+    is replaced in a text whose other words are Latin only: by its group's form, or if it is of up to three letters, too short to be
+    told by a group, by its prototypes.
+    """
+    out = {}
+    for w in {w for w in words if not w.isascii()}:
+        table = _foreign(w)
+        if w in chosen and (table or any(c in _LATIN_TWINS for c in w)):
+            out[w] = chosen[w]
+        elif table:
+            out[w] = w.translate(str.maketrans(table))
     whole, latin = _stand_ins(words)
     size = sum(map(len, whole))
-    return {w: _latin(w) for w in whole if len(w) <= 3 and latin >= 4 * size or w in twins and latin >= size}
+    for w in set(whole):
+        if w in chosen and latin >= size:
+            out[w] = chosen[w]
+        elif len(w) <= 3 and latin >= 4 * size:
+            out[w] = latin_form(w)
+    return out
 
 
-def plain(text: str, twins: frozenset[str] = frozenset()) -> str:
+def plain(text: str, chosen: dict[str, str] | None = None) -> str:
     """The consistent form of a text: everything that only looks like an ordinary character is that character.
 
-    ``twins`` are longer words wholly of look-alikes whose Latin form the corpus knows.
+    ``chosen`` has the forms that the skeleton groups of words have chosen.
     """
     out, n = [], len(text)
     for i, c in enumerate(text):
@@ -141,59 +195,86 @@ def plain(text: str, twins: frozenset[str] = frozenset()) -> str:
         out.append(c if keep else prototype(c))
     now = "".join(out)
     composed = unicodedata.normalize("NFC", now)
-    words = _WORD.findall(composed)
-    swaps = {w: w.translate(str.maketrans(t)) for w in set(words) if not w.isascii() and (t := _foreign(w))}
-    swaps |= _lonely(composed, words, twins)
+    swaps = _swaps(_WORD.findall(composed), chosen or {})
     return _WORD.sub(lambda m: swaps.get(m.group(), m.group()), composed) if swaps else composed
 
 
-def whole_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, latin): words of four or more letters wholly of look-alikes in texts that are Latin else, with their Latin form."""
+def odd_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, word, skeleton, whole): the words of each text that hold look-alikes: of mixed scripts, wholly of them in a Latin text, or with twins of Latin letters."""
     for batch in batches:
-        found = set()
-        for text in batch["text"]:
-            whole, latin = _stand_ins(_WORD.findall(unicodedata.normalize("NFC", text)))
-            found.update(w for w in whole if len(w) > 3 and latin >= sum(map(len, whole)))
-        yield with_texts(pd.DataFrame(index=range(len(found))), word=(words := sorted(found)), latin=[_latin(w) for w in words])
+        rows = []
+        for at, text in zip(batch["id"], batch["text"], strict=True):
+            words = _WORD.findall(unicodedata.normalize("NFC", text))
+            whole, latin = _stand_ins(words)
+            whole = set(whole) if latin >= sum(map(len, whole)) else set()
+            odd = {w for w in words if not w.isascii() and (w in whole or any(c in _LATIN_TWINS for c in w) or _foreign(w))}
+            rows += [(at, w, skeleton(w), w in whole) for w in sorted(odd)]
+        found = pd.DataFrame(rows, columns=["id", "word", "skeleton", "whole"])
+        yield with_texts(found.astype({"id": "int64", "whole": bool}), word=found["word"].tolist(), skeleton=found["skeleton"].tolist())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _ordinary_forms(words: pd.Series) -> pd.Series:
+    """The words of a single script that have the same skeleton: all letters Latin, or all Cyrillic, and composed."""
+
+    def forms(word: str) -> list[str]:
+        made = {unicodedata.normalize("NFC", f(word)) for f in (latin_form, cyrillic_form)}
+        return sorted(m for m in made if m != word and len({_script(c) for c in m if _LETTER.match(c)}) == 1 and skeleton(m) == skeleton(word))
+
+    return words.map(forms)
 
 
-def twins_of(values: DataFrame) -> frozenset[str]:
-    """Words wholly of look-alikes that share their skeleton with a Latin word of the corpus.
+def chosen_forms(values: DataFrame, odd: DataFrame) -> DataFrame:
+    """(word, form): for odd words, the form that their skeleton group has chosen, where that is another one.
 
-    Words of texts in their own script don't count, unless the Latin form is the more frequent one. The corpus is searched only
-    for the forms of such words, and not at all where there is none.
+    A group holds the odd words of one skeleton and the words of a single script with it, however often each is used. The most frequent of the latter is
+    chosen. For words wholly of look-alikes, which are such words themselves, uses in texts of their own script count for them, and for words with
+    twins of Latin letters all their uses. The corpus is searched only for the forms of such words.
     """
-    long = rf"(?=[^\x{{00}}-\x{{7f}}])[{_CYRILLIC}{_GREEK}](?<!\p{{L}}.)[{_CYRILLIC}{_GREEK}]{{3,}}(?!\p{{L}})"
+    words = cut(odd.select("word", "skeleton", "whole").distinct())
+    ordinary = words.select("skeleton", "word", F.explode(_ordinary_forms("word")).alias("form"))
+    forms = ordinary.select("skeleton", "form").union(words.select("skeleton", F.col("word").alias("form"))).distinct()
     text = F.col("text")
-    odd = values.select("text").filter((F.length(text) != F.octet_length(text)) & text.rlike(long) & text.rlike("[a-zA-Z]{3}"))
-    words = cut(odd.mapInPandas(whole_words, "word string, latin string").distinct())
-    if words.isEmpty():
-        return frozenset()
-    forms = words.select("word", F.explode(F.array(F.struct(F.col("word").alias("form"), F.lit(True).alias("own")), F.struct(F.col("latin").alias("form"), F.lit(False).alias("own")))).alias("f")).select("word", "f.*")
     each = values.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("form"), ((F.length(text) != F.octet_length(text)) & text.rlike(_OWN)).alias("other"))
-    used = each.join(bounded_broadcast(forms), "form").groupBy("word").agg(F.count_if(~F.col("own")).alias("clean"), F.count_if(F.col("own") & F.col("other")).alias("abroad"))
-    return frozenset(r.word for r in used.filter("clean > abroad").select("word").collect())  # distinct words, not rows
+    used = cut(each.join(bounded_broadcast(forms), "form").groupBy("skeleton", "form").agg(F.count("*").alias("n"), F.count_if("other").alias("abroad")))
+    own = words.join(used.select("skeleton", F.col("form").alias("word"), F.when(F.col("word").isNotNull(), F.col("n")).alias("own"), "abroad").select("skeleton", "word", "own", "abroad"), ["skeleton", "word"], "left")
+    best = ordinary.join(used.select("skeleton", "form", "n"), ["skeleton", "form"]).groupBy("skeleton", "word").agg(F.max(F.struct("n", "form")).alias("best"))
+    against = F.when(F.col("whole"), F.coalesce("abroad", F.lit(0))).when(F.col("word").rlike(_java_class(_LATIN_TWINS)), F.coalesce("own", F.lit(0))).otherwise(0)
+    return own.join(best, ["skeleton", "word"]).filter(F.col("best.n") > against).groupBy("word").agg(F.max("best").alias("best")).select("word", F.col("best.form").alias("form"))
 
 
-def unify(values: DataFrame, learned: tuple | None = None, keep_garbled: bool = False, twins: frozenset[str] = frozenset()) -> DataFrame:
-    """Rows of ``values`` that aren't in plain form, with ``plain`` and ``skeleton`` added.
+def unify(values: DataFrame, learned: tuple | None = None, keep_garbled: bool = False, groups: bool = True) -> DataFrame:
+    """Rows of ``values`` that aren't in plain form, with ``plain``, ``skeleton`` and ``by_group`` added.
 
-    ``values`` has a ``text`` column; null and empty texts are in plain form. Other columns pass through (``plain`` and
-    ``skeleton`` are replaced), repeated rows stay repeated. Texts that were decoded with a wrong encoding, as far as
-    ``learned`` tells, are left out unless ``keep_garbled``: their odd characters are not look-alikes. ``twins`` as in ``plain``.
+    ``values`` has a ``text`` column; null and empty texts are in plain form. Other columns pass through (columns of the added
+    names are replaced), repeated rows stay repeated. ``by_group`` tells whether a word took the form that its skeleton group has chosen.
+    Texts that were decoded with a wrong encoding, as far as
+    ``learned`` tells, are left out unless ``keep_garbled``: their odd characters are not look-alikes. Without ``groups`` only prototypes count.
     """
-    fields = [f for f in values.schema.fields if f.name not in ("plain", "skeleton")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", plain string, skeleton string"
+    added = {"plain": "string", "skeleton": "string", "by_group": "boolean"}
+    fields = [f for f in values.schema.fields if f.name not in added]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + ", ".join(f"{k} {v}" for k, v in added.items())
+    suspects = values.select(*[f"`{f.name}`" for f in fields]).filter(suspect(F.col("text")))
+    if groups:
+        rows = cut(suspects).withColumn("_id", F.monotonically_increasing_id())
+        odd = cut(rows.select(F.col("_id").alias("id"), "text").mapInPandas(odd_words, "id bigint, word string, skeleton string, whole boolean"))
+        forms = odd.join(chosen_forms(values.filter(F.col("text").isNotNull()).select("text"), odd), "word").groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("word", "form")).alias("_forms"))  # at most the words of one text
+        rows = rows.join(forms, F.col("_id") == F.col("_of"), "left").drop("_id", "_of")
+    else:
+        rows = suspects.withColumn("_forms", F.lit(None).cast("array<struct<word string, form string>>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         garbled = encoding.Restorer(*learned).restore if learned and not keep_garbled else lambda _: None
         for batch in batches:
-            done = [plain(t, twins) for t in batch["text"]]
-            odd = [p != t and garbled(t) is None for p, t in zip(done, batch["text"], strict=True)]
-            hit = batch[odd]
-            yield with_texts(hit, plain=[p for p, o in zip(done, odd, strict=True) if o], skeleton=[skeleton(t) for t in hit["text"]])
+            chosen = [{} if x is None else {f["word"]: f["form"] for f in x} for x in batch["_forms"]]
+            texts = batch["text"].tolist()
+            done = [plain(t, c) for t, c in zip(texts, chosen, strict=True)]
+            odd = [p != t and garbled(t) is None for p, t in zip(done, texts, strict=True)]
+            by = [bool(c) and p != plain(t) or any(w in t for w in c) for t, p, c, o in zip(texts, done, chosen, odd, strict=True) if o]
+            hit = batch.loc[odd].drop(columns="_forms")
+            yield with_texts(hit, plain=[p for p, o in zip(done, odd, strict=True) if o], skeleton=[skeleton(t) for t in hit["text"]]).assign(by_group=pd.Series(by, index=hit.index, dtype=bool))
 
-    return values.select(*[f"`{f.name}`" for f in fields]).filter(suspect(F.col("text"))).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 @F.pandas_udf(StringType())
@@ -216,9 +297,9 @@ def look_alike_groups(values: DataFrame) -> DataFrame:
 
 
 def p3_unified(spark, sf_dir: str) -> DataFrame:
-    """Titles and blocks that hold stand-ins or hidden characters, with their consistent form and skeleton."""
+    """Titles and blocks that hold stand-ins or hidden characters, with their consistent form and skeleton, and whether a skeleton group gave it."""
     values = values_of(spark.read.parquet(f"{sf_dir}/items.parquet"))
-    return unify(values, encoding.learn(values), twins=twins_of(values))
+    return unify(values, encoding.learn(values))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -152,9 +152,29 @@ def test_unify_and_groups(spark):
 def test_whole_words_of_stand_ins_have_a_clean_twin(spark):
     texts = ["Officials соре with the winter storm", "They cope well", "The СССР hockey shirt was sold", "Новый отчёт: соха и сосна", "A соха from the north was shown", "A long paper", "хохо", "Рорсоrn and sweets"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
-    found = {r.id: r.plain for r in lookalikes.unify(df, twins=lookalikes.twins_of(df)).collect()}
-    assert found == {0: "Officials cope with the winter storm", 7: "Popcorn and sweets"}
-    assert lookalikes.twins_of(df.filter("id = 1")) == frozenset()
+    found = {r.id: (r.plain, r.by_group) for r in lookalikes.unify(df).collect()}
+    assert found == {0: ("Officials cope with the winter storm", True), 7: ("Popcorn and sweets", False)}
+
+
+def test_groups_of_equal_skeletons_decide(spark):
+    """What a word is comes from the words that look like it: without groups, words of one script only, and of Latin twins, are no cases."""
+    texts = ["An old harbour in the city", "the city is open", "it is a topor and it is old", "Новый топор и комбинат", "комбинат снова открыт", "A соре was seen; they cope", "ıt is open", "Sığır and Kadıköy", "Kadıköy is old", "the cıty", "A кoмбинaт opened here"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    with_groups = {r.id: (r.plain, r.by_group) for r in lookalikes.unify(df).collect()}
+    assert with_groups == {5: ("A cope was seen; they cope", True), 6: ("it is open", True), 9: ("the city", True), 10: ("A комбинат opened here", True)}
+    assert {r.id for r in lookalikes.unify(df, groups=False).collect()} == {10}
+
+
+@pytest.mark.parametrize(("text", "form"), [("Ꭺpple", "Apple"), ("ꓮpple", "Apple"), ("ʀead", "Read"), ("ⲟk", "ok"), ("ᴏpen", "open")])
+def test_letters_of_rarer_scripts(text, form):
+    assert lookalikes.plain(text) == form and lookalikes.skeleton(text) == lookalikes.skeleton(form)
+
+
+def test_more_prototypes_from_a_file(monkeypatch):
+    found = lookalikes.read_confusables(["# comment", "A7AE ;\t0069 ;\tMA\t# x", "1D6C2 ; 0061 ; MA", "bad line", "0041 0042 ; 0043 ; MA"])
+    assert found == {"Ɪ": "i", "𝛂": "a"}
+    monkeypatch.setattr(lookalikes, "MORE", {"⍺": "a"})
+    assert lookalikes.skeleton("f⍺rm") == "farm"
 
 
 def test_groups_hold_blocks(spark, tmp_path):
