@@ -11,9 +11,12 @@ Three passes over the values:
    pairs are almost unknown to the corpus vote for the ways whose reversal makes them usual ones. The ways that are needed to
    explain the votes are the learned ones; together with the alphabet and the letter pairs of the corpus they make
    the tables of garbled sequences.
+   Aligned pairs that no way of the list explains teach a map of their own, of garbled runs to the letters meant: a run
+   has to stand for one letter in nearly all words of several keys, and most words with it have to have such a twin.
 3. The tables are applied to all values, again and again while that changes something (text garbled twice).
 
-What is collected to the driver is bounded by the ways of misreading (a fixed list) and by the alphabet (Unicode).
+What is collected to the driver is bounded by the ways of misreading (a fixed list), by the letters of one-byte encodings and their pairs, and by the
+alphabet (Unicode).
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ from folioflow.session import cut
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-roman", "cp1250")
 READ = ("cp1252", "latin-1", "cp1251", "mac-roman", "cp437", "cp850", "cp1250", "koi8-r", "iso8859-2", "iso8859-15", "cp866", "iso8859-5", "mac-cyrillic")
 
+#: names of ways, alphabet with counts, letter pairs with counts, and runs that alignment alone taught
+Learned = tuple[list[str], dict[str, int], dict[str, int], dict[str, str]]
+
 _RUN = re.compile(r"([^\x00-\x7f]+)")
 _WORD = re.compile(r"\S+")
 
@@ -60,6 +66,10 @@ class Misreading:
         return "".join(self.chars[b] for b in raw)
 
 
+#: what one-byte encodings hold besides ASCII: letter pairs are counted among these only
+BYTE_CHARS = frozenset(c for codec in {*WRITTEN, *READ} - {"utf-8"} for c in byte_table(codec)[128:])
+
+
 def misreadings() -> list[Misreading]:
     return [Misreading(w, r) for w in WRITTEN for r in READ if w != r]
 
@@ -86,7 +96,7 @@ def count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if c > "\x7f":
                     chars[c] += n
             for a, b in zip(word, word[1:], strict=False):
-                if a > "\x7f" and b > "\x7f" and a.isalpha() and b.isalpha():
+                if a in BYTE_CHARS and b in BYTE_CHARS and a.isalpha() and b.isalpha():
                     pairs[a + b] += n
             if len(key := _letters_only(word)) >= 3:
                 rows.append(("word", _RUN.sub("", word), word, n))
@@ -114,9 +124,52 @@ def votes_of(clean: str, garbled: str, ways: list[Misreading]) -> list[int]:
     return found
 
 
+def unexplained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(seen, meant, key): aligned runs of words and their clean twins that no listed way explains; runs of equal length letter by letter."""
+    ways = misreadings()
+    for batch in batches:
+        rows = set()
+        for key, form, twin in zip(batch["key"], batch["form"], batch["twin"], strict=True):
+            a, b = _RUN.split(twin), _RUN.split(form)
+            if len(a) != len(b) or a[::2] != b[::2] or votes_of(twin, form, ways) or votes_of(form, twin, ways):
+                continue
+            for meant, seen in zip(a[1::2], b[1::2], strict=True):
+                letters = zip(seen, meant, strict=True) if len(seen) == len(meant) else [(seen, meant)] if len(meant) == 1 else ()
+                rows.update((y, x, key) for y, x in letters if x != y and x.isalpha() and y.isprintable() and "\ufffd" not in y)
+        yield with_texts(pd.DataFrame(index=range(len(rows))), **{c: [r[k] for r in sorted(rows)] for k, c in enumerate(("seen", "meant", "key"))})
+
+
+def learn_map(words: DataFrame, twins: DataFrame, least_keys: int = 5, share: float = 0.9, most_words: float = 0.8, least_letters: int = 3, clean: int = 4) -> dict[str, str]:
+    """Garbled runs, and the letters that are meant, that alignment alone teaches.
+
+    ``words`` has key, form and n, ``twins`` key, twin and twin_n. A twin is taken for clean if it is ``clean`` times as frequent. A run is learned that is aligned
+    with one letter under ``least_keys`` keys and in ``share`` of all of its own, and if ``most_words`` of the distinct words that hold it have
+    such a twin; a run that only some words hold by mistake is a letter of its own. Fewer than ``least_letters`` runs are no encoding, and none is learned.
+    At most one row per letter of the alphabet comes to the driver.
+    """
+    near = words.join(twins, "key").filter((F.col("form") != F.col("twin")) & (F.col("twin_n") >= clean * F.col("n"))).select("key", "form", "twin")
+    pairs = cut(near.mapInPandas(unexplained, "seen string, meant string, key string"))
+    counted = pairs.groupBy("seen", "meant").agg(F.countDistinct("key").alias("keys"))
+    best = counted.groupBy("seen").agg(F.max_by("meant", F.struct("keys", "meant")).alias("meant"), F.max("keys").alias("keys"), F.sum("keys").alias("all"))
+    sure = {r.seen: (r.meant, r["keys"]) for r in best.filter((F.col("keys") >= least_keys) & (F.col("keys") >= share * F.col("all"))).collect()}
+    if len(sure) < least_letters:
+        return {}
+
+    def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held: Counter = Counter()
+            for key, form in zip(batch["key"], batch["form"], strict=True):
+                held.update((s, key) for s in sure if s in form)
+            yield with_texts(pd.DataFrame(index=range(len(held))), seen=[s for s, _ in held], key=[k for _, k in held])
+
+    total = {r.seen: r.n for r in words.select("key", "form").mapInPandas(holding, "seen string, key string").groupBy("seen").agg(F.countDistinct("key").alias("n")).collect()}
+    found = {s: meant for s, (meant, keys) in sure.items() if keys >= most_words * total[s]}
+    return found if len(found) >= least_letters else {}
+
+
 def _familiar(text: str, pairs: dict[str, int]) -> float:
     """Mean log count of the non-ASCII letter pairs of a text."""
-    own = [math.log(pairs.get(a + b, 0) + 0.5) for a, b in zip(text, text[1:], strict=False) if a > "\x7f" and b > "\x7f" and (a.isalpha() or b.isalpha())]
+    own = [math.log(pairs.get(a + b, 0) + 0.5) for a, b in zip(text, text[1:], strict=False) if a in BYTE_CHARS and b in BYTE_CHARS and (a.isalpha() or b.isalpha())]
     return sum(own) / len(own) if own else 0.0
 
 
@@ -202,8 +255,9 @@ def _java_class(chars: set[str]) -> str:
 class Restorer:
     """The learned tables, applied to one text at a time."""
 
-    def __init__(self, ways: list[str], alphabet: dict[str, int], pairs: dict[str, int]):
-        self.pairs = pairs
+    def __init__(self, ways: list[str], alphabet: dict[str, int], pairs: dict[str, int], runs: dict[str, str] | None = None):
+        self.pairs, self.runs = pairs, runs or {}
+        self.run_pattern = re.compile("|".join(map(re.escape, sorted(self.runs, key=len, reverse=True)))) if self.runs else None
         self.total = sum(pairs.values()) + 1
         self.tables, self.swaps = [], []
         self.known: dict[tuple[str, str], float] = {}  # words were judged before: texts repeat them
@@ -255,6 +309,7 @@ class Restorer:
             if wide:
                 parts.append(_java_class({g[0] for g in wide}) + _java_class({g[1] for g in wide}))
         parts += [_java_class({chr(c) for c in letters if c > 127}) + "{3}" for _, letters, _ in self.swaps]
+        parts += ["".join(f"\\x{{{ord(c):x}}}" for c in run) for run in self.runs]
         return "(?=[^\\x{00}-\\x{7f}])(?:" + "|".join(parts) + ")"
 
     def gain(self, seen: str, meant: str) -> tuple[float, int]:
@@ -335,13 +390,14 @@ class Restorer:
         """(ways, restored text), or null when the text isn't garbled; lost characters stay U+FFFD."""
         if len(self.known) > 1_000_000:
             self.known.clear()
-        ways, now = [], text
-        for _ in range(4):
-            step = self._undo_table(now) or self._undo_swap(now)
-            if step is None or step[1] == now:
-                break
+        ways, now, met = [], text, {text}
+        while (step := self._undo_table(now) or self._undo_swap(now)) and step[1] not in met:
             ways.append(step[0])
             now = step[1]
+            met.add(now)
+        if self.run_pattern and (mended := self.run_pattern.sub(lambda m: self.runs[m.group()], now)) != now:
+            ways.append("aligned")
+            now = mended
         if not ways and any("\x80" <= c <= "\x9f" for c in now):
             ways.append("unknown")
         if "\ufffd" in now:
@@ -355,12 +411,12 @@ def count_all(values: DataFrame) -> DataFrame:
     return cut(counted.groupBy("kind", "key", "form").agg(F.sum("n").alias("n")))
 
 
-def learn(values: DataFrame, least_votes: int = 3, least_chars: int = 3) -> tuple[list[str], dict[str, int], dict[str, int]]:
-    """(names of the learned ways, alphabet with counts, letter pairs with counts) from the ``text`` column of ``values``."""
+def learn(values: DataFrame, least_votes: int = 3, least_chars: int = 3) -> Learned:
+    """What the ``text`` column of ``values`` teaches."""
     return learn_from(count_all(values), least_votes, least_chars)
 
 
-def learn_from(forms: DataFrame, least_votes: int = 3, least_chars: int = 3) -> tuple[list[str], dict[str, int], dict[str, int]]:
+def learn_from(forms: DataFrame, least_votes: int = 3, least_chars: int = 3) -> Learned:
     """What :func:`learn` gives, from counted forms."""
     letters = forms.filter(F.col("kind").isin("char", "pair") & (F.col("n") >= least_chars)).select("kind", "form", "n").collect()
     alphabet = {r.form: r.n for r in letters if r.kind == "char" and not "\x80" <= r.form <= "\x9f" and r.form != "\ufffd"}
@@ -372,10 +428,12 @@ def learn_from(forms: DataFrame, least_votes: int = 3, least_chars: int = 3) ->
     votes = pairs.mapInPandas(vote(usual), "ways string, votes bigint").unionByName(forms.filter("kind = 'text'").select("form").mapInPandas(vote_alone(usual), "ways string, votes bigint"))
     summed = {r.ways: r.votes for r in votes.groupBy("ways").agg(F.sum("votes").alias("votes")).collect()}
     names = misreadings()
-    return [names[k].name for k in choose_ways(summed, least_votes)], alphabet, usual
+    common = keyed.filter("kind = 'word'").groupBy("key").agg(F.max_by("form", F.struct("n", "form")).alias("twin"), F.max("n").alias("twin_n"), F.count("*").alias("forms")).filter("forms > 1").drop("forms")
+    runs = learn_map(keyed.filter("kind = 'word'").select("key", "form", "n"), common)
+    return [names[k].name for k in choose_ways(summed, least_votes)], alphabet, usual, runs
 
 
-def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int], dict[str, int]] | None = None) -> DataFrame:
+def restore_encoding(values: DataFrame, learned: Learned | None = None) -> DataFrame:
     """The garbled rows of ``values`` with ``ways`` and ``restored`` added.
 
     ``values`` has a ``text`` column; null and empty texts are never garbled, other columns pass through and repeated rows stay
@@ -383,13 +441,13 @@ def restore_encoding(values: DataFrame, learned: tuple[list[str], dict[str, int]
     (``ways`` ends in ``lost``). A value's clean or ambiguous stretches stay as they are. A table without rows or
     without twins teaches nothing but U+FFFD and stray control characters, which need no table.
     """
-    ways, alphabet, pairs = learned or learn(values.filter(F.col("text").isNotNull()))
-    suspect = Restorer(ways, alphabet, pairs).suspect()
+    known = learned or learn(values.filter(F.col("text").isNotNull()))
+    suspect = Restorer(*known).suspect()
     extra = [f for f in values.schema.fields if f.name not in ("ways", "restored")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", ways string, restored string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(ways, alphabet, pairs)
+        restorer = Restorer(*known)
         for batch in batches:
             done = [restorer.restore(t) for t in batch["text"]]
             hit = [d is not None for d in done]

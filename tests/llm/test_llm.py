@@ -53,6 +53,28 @@ def test_ways_are_learned_and_undone(spark):
     assert set(got) == set(planted) | {30_000}
 
 
+def test_maps_outside_the_list_come_from_alignment(spark):
+    """A misreading between encodings that aren't listed is learned letter by letter and applied to words without a twin."""
+    letters = dict(zip("éèêç", "ŘŤŇĐ", strict=True))  # what an unknown reader made of them
+    fitting = {"caf{}": "é", "{}cole": "é", "r{}sum{}": "é", "pi{}ce": "è", "cr{}me": "è", "fr{}re": "è", "p{}che": "ê", "for{}t": "ê", "gar{}on": "ç", "fa{}ade": "ç", "r{}cif": "é", "m{}re": "è", "le{}on": "ç", "fran{}ais": "ç", "d{}but": "é", "l{}gume": "é", "r{}ve": "ê", "f{}te": "ê", "t{}te": "ê", "b{}te": "ê", "for{}at": "ç", "p{}re": "è", "tr{}s": "è", "apr{}s": "è"}
+    clean = [s.replace("{}", x) for s, x in fitting.items()]
+    garble = lambda t: "".join(letters.get(c, c) for c in t)
+    rows = [(k, f"le {w} ici") for k, w in enumerate(clean * 12)] + [(1000 + k, f"le {garble(w)} ici") for k, w in enumerate(clean)] + [(2000, garble("un élève créé")), (2001, "un élève créé"), (2002, "Dvořák a Šťastný"), (2003, "l’hôtel naïf")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.ways, r.restored) for r in encoding.restore_encoding(df).collect()}
+    assert got == {1000 + k: ("aligned", f"le {w} ici") for k, w in enumerate(clean)} | {2000: ("aligned", "un élève créé")}
+    few = df.filter("id < 1003")
+    assert encoding.learn(few)[3] == {} and encoding.restore_encoding(few).count() == 0
+
+
+def test_letters_of_two_alphabets_that_are_ordinary_teach_nothing(spark):
+    """Words that differ in one letter by right are no misreading, however many there are."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfgklmnprst") for _ in range(4)) for _ in range(60)]
+    rows = [w[:2] + c + w[2:] for w in words for c, n in (("é", 10), ("è", 2)) for _ in range(n)] + ["".join(rng.choice("bcdfgklmnprst") for _ in range(5)) + "è" for _ in range(60)]
+    assert encoding.learn(spark.createDataFrame([(t,) for t in rows], "text string"))[3] == {}
+
+
 def test_lost_characters_come_from_twins(spark):
     df = spark.createDataFrame([(k, f"{n} spoke") for k, n in enumerate(NAMES * 3)] + [(100, "Pe\ufffda Larga, Zo\ufffd Bront\ufffd"), (101, "Unkn\ufffdwn")], "item_id int, text string")
     forms = encoding.count_all(df)
