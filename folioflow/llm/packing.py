@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
+from folioflow.session import bounded_broadcast, cut
 
+#: where the driver finds the vocabulary; executors get it from the driver
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,9 +40,13 @@ def token_counter(path: str):
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of every document with a text; null texts have no row, empty ones 0 tokens."""
+    documents.sparkSession.sparkContext.addFile(path)
+    name = Path(path).name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = token_counter(path)
+        from pyspark import SparkFiles
+
+        count = token_counter(SparkFiles.get(name))
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": np.fromiter(map(count, batch["text"]), np.int64, len(batch))})
 
@@ -106,28 +112,40 @@ def pack(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float
     return sequence, offset
 
 
-def pack_documents(counts: DataFrame, containers: DataFrame, shard_rows: int = 50_000) -> DataFrame:
+LINEAR, QUADRATIC = 1.0, 1 / 4096
+
+
+def pack_documents(counts: DataFrame, containers: DataFrame, shard_pieces: int = 50_000) -> DataFrame:
     """(container_id, doc_id, piece, sequence, offset, tokens): where every document lies for every capacity.
 
     ``counts`` has doc_id and tokens, ``containers`` container_id and capacity_tokens; capacities that are null or below 1 hold
-    nothing. Offsets count tokens within the sequence. Pieces of a longer document are numbered from 0. Documents with the same id
-    are packed each. Sequences are numbered without gaps within a shard; the number is unique for a container.
+    nothing, more than ``MOST_CONTAINERS`` of them are an error. Offsets count tokens within the sequence. Pieces of a longer document are numbered from 0.
+    Pieces that fill a sequence are one each, without packing; the others of a capacity are spread over as many shards as ``shard_pieces`` of them
+    need, so no task has more to pack, however long documents are. Documents with the same id
+    are packed each. The number of a sequence is unique for a container.
     """
     stated = containers.filter("capacity_tokens >= 1").select("container_id", F.col("capacity_tokens").cast("int").alias("capacity")).limit(MOST_CONTAINERS + 1).collect()
     if len(stated) > MOST_CONTAINERS:
         raise ValueError(f"more than {MOST_CONTAINERS} containers")
-    shards = max(1, -(-counts.count() // shard_rows))
-    full = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("int")
-    each = F.array(*[F.struct(F.lit(r.container_id).cast("int").alias("container_id"), F.lit(r.capacity).alias("capacity")) for r in stated]) if stated else F.array().cast("array<struct<container_id int, capacity int>>")
-    pieces = counts.select("doc_id", "tokens", F.inline(each)).select("doc_id", "tokens", "container_id", "capacity", F.posexplode(F.sequence(F.lit(1), full)).alias("piece", "_"))
-    sized = pieces.select("doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"), "container_id", "capacity", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard"))
+    rest = lambda capacity: F.count_if((F.col("tokens") % capacity > 0) | (F.col("tokens") == 0))
+    open_pieces = counts.agg(F.count("*"), *[rest(r.capacity) for r in stated]).first()[1:]
+    each = F.array(*[F.struct(F.lit(r.container_id).cast("int").alias("container_id"), F.lit(r.capacity).alias("capacity"), F.lit(max(1, -(-n // shard_pieces))).alias("shards")) for r, n in zip(stated, open_pieces, strict=True)])
+    if not stated:
+        each = F.array().cast("array<struct<container_id int, capacity int, shards int>>")
+    sized = cut(counts.select("doc_id", "tokens", F.monotonically_increasing_id().alias("row"))).select("doc_id", "tokens", "row", F.inline(each))
+    full = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
+    left = (F.col("tokens") - full * F.col("capacity")).cast("int")
+    # a full piece is a sequence of its own: its number is that of its row and piece, below those of the shards
+    whole = sized.filter(full > 0).select("container_id", "doc_id", "row", "capacity", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    whole = whole.select("container_id", "doc_id", "piece", (-F.pmod(F.xxhash64("row", "piece"), F.lit(2**62)) - 1).alias("sequence"), F.lit(0).alias("offset"), F.col("capacity").alias("tokens"))
+    parts = sized.filter((left > 0) | (F.col("tokens") == 0)).select("container_id", "capacity", "doc_id", "row", full.alias("piece"), left.alias("tokens"), F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "tokens"], ignore_index=True)
-        sequence, offset = pack(pdf["tokens"].to_numpy(), int(pdf["capacity"].iloc[0]))
+        sequence, offset = pack(pdf["tokens"].to_numpy(), int(pdf["capacity"].iloc[0]), LINEAR, QUADRATIC)
         return pdf.assign(sequence=sequence + pdf["shard"].astype("int64") * 2**32, offset=offset)[["container_id", "doc_id", "piece", "sequence", "offset", "tokens"]]
 
-    return sized.groupBy("container_id", "shard").applyInPandas(run, PLACED)
+    return parts.groupBy("container_id", "shard").applyInPandas(run, PLACED).unionByName(whole)
 
 
 def _packed(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +158,9 @@ def p7_packed(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark, sf_dir: str) -> DataFrame:
-    """Per container size the sequences used, the tokens in them and the share of their room that is used."""
+    """Per container size the sequences used, the tokens in them, the share of their room that is used, and how far the costliest sequence is above the mean."""
     containers = spark.read.parquet(f"{sf_dir}/containers.parquet")
-    used = _packed(spark, sf_dir).groupBy("container_id").agg(F.countDistinct("sequence").alias("sequences"), F.sum("tokens").alias("tokens"))
-    return used.join(F.broadcast(containers), "container_id").withColumn("fill", F.round(F.col("tokens") / (F.col("sequences") * F.col("capacity_tokens")), 6))
+    cost = F.sum(LINEAR * F.col("tokens") + QUADRATIC * F.col("tokens") * F.col("tokens"))
+    each = _packed(spark, sf_dir).groupBy("container_id", "sequence").agg(F.sum("tokens").alias("tokens"), cost.alias("cost"))
+    used = each.groupBy("container_id").agg(F.count("*").alias("sequences"), F.sum("tokens").alias("tokens"), F.round(F.max("cost") / F.avg("cost"), 4).alias("cost_max_to_mean"))
+    return used.join(bounded_broadcast(containers), "container_id").withColumn("fill", F.round(F.col("tokens") / (F.col("sequences") * F.col("capacity_tokens")), 6))

@@ -347,6 +347,22 @@ def test_documents_are_packed_once_each(spark):
         assert sum(r.tokens for r in placed if r.container_id == c) == sum(n for _, n in sizes)
     assert sorted(r.piece for r in placed if r.container_id == 1 and r.doc_id == 1) == [0, 1, 2, 3]
     assert packing.pack_documents(counts.filter("doc_id < 0"), containers).count() == 0
+    for c, capacity in ((1, 512), (2, 2048)):
+        used: dict = {}
+        for r in (r for r in placed if r.container_id == c):
+            used.setdefault(r.sequence, []).append((r.offset, r.offset + r.tokens))
+        assert all(a[1] <= b[0] for spans in used.values() for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False)) and all(end <= capacity for spans in used.values() for _, end in spans)
+
+
+def test_long_documents_are_spread_by_their_pieces(spark):
+    """A book is many sequences but one open piece, so shards hold what they have to pack, not what documents hold."""
+    counts = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") * 10_000 + 7).alias("tokens"))
+    containers = spark.createDataFrame([(1, 100)], "container_id int, capacity_tokens int")
+    placed = packing.pack_documents(counts, containers, shard_pieces=10)
+    assert placed.agg(F.sum("tokens")).first()[0] == sum(k * 10_000 + 7 for k in range(40))
+    open_ = placed.filter("sequence >= 0")
+    assert open_.count() == 40 and open_.select((F.col("sequence") / 2**32).cast("int")).distinct().count() == 4
+    assert placed.filter("sequence < 0").select("sequence").distinct().count() == sum(k * 100 for k in range(40))
 
 
 # ------------------------------------------------------------------ 8 leaks
