@@ -64,7 +64,8 @@ def _java_class(chars: Iterable[str]) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars))) + "]"
 
 
-_STANDING = _java_class(TO_LATIN)
+# ranges that hold all letters above but the Cyrillic and Greek ones: a few ranges are told faster than many letters
+_RARER = r"\x{250}-\x{2af}\x{531}-\x{587}\x{13a0}-\x{13fd}\x{1d00}-\x{1d25}\x{2c80}-\x{2cff}\x{a4d0}-\x{a4ff}\x{a730}-\x{a7ff}\x{10400}-\x{1044f}"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(rf"(?:[^\W\d_]|[̀-ͯ{_HIDDEN}])+")
@@ -75,8 +76,9 @@ _JOINING = re.compile(r"[֐-෿က-႟]")  # scripts in which joiners and marks
 # What a text must hold to hold a case, as Java patterns; every text without it is in plain form already.
 _ODD = (
     rf"(?=[^\x{{00}}-\x{{7f}}])(?:[{_HIDDEN}{_SPACES}\x{{300}}-\x{{36f}}\x{{ff01}}-\x{{ffee}}\x{{fb00}}-\x{{fb06}}\x{{2160}}-\x{{217f}}\x{{2126}}\x{{212a}}\x{{212b}}\x{{37e}}\x{{387}}\x{{1d400}}-\x{{1d7ff}}]"
-    rf"|[Ͱ-ϿЀ-ԯ{_STANDING[1:-1]}{''.join(_LATIN_TWINS)}](?:[a-zA-ZÀ-ɏ]|(?<=[a-zA-ZÀ-ɏ].)))"
+    rf"|[Ͱ-ԯ{_RARER}{''.join(_LATIN_TWINS)}](?:[a-zA-ZÀ-ɏ]|(?<=[a-zA-ZÀ-ɏ].)))"
 )
+_STANDING = rf"[{_CYRILLIC}{_GREEK}{_RARER}]"
 _LONELY = rf"(?=[^\x{{00}}-\x{{7f}}]){_STANDING}(?<!\p{{L}}.){_STANDING}*(?!\p{{L}})"
 # Letters of these scripts that look like no Latin one: a text that holds one has words of another script.
 _OWN = rf"[\x{{370}}-\x{{3ff}}\x{{400}}-\x{{52f}}&&\p{{L}}&&[^{_CYRILLIC}{_GREEK}]]"
@@ -235,7 +237,8 @@ def chosen_forms(values: DataFrame, odd: DataFrame) -> DataFrame:
     ordinary = words.select("skeleton", "word", F.explode(_ordinary_forms("word")).alias("form"))
     forms = ordinary.select("skeleton", "form").union(words.select("skeleton", F.col("word").alias("form"))).distinct()
     text = F.col("text")
-    each = values.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("form"), ((F.length(text) != F.octet_length(text)) & text.rlike(_OWN)).alias("other"))
+    told = values.select("text", ((F.length(text) != F.octet_length(text)) & text.rlike(_OWN)).alias("other"))  # once a text, not once a word
+    each = told.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("form"), "other")
     used = cut(each.join(bounded_broadcast(forms), "form").groupBy("skeleton", "form").agg(F.count("*").alias("n"), F.count_if("other").alias("abroad")))
     own = words.join(used.select("skeleton", F.col("form").alias("word"), F.when(F.col("word").isNotNull(), F.col("n")).alias("own"), "abroad").select("skeleton", "word", "own", "abroad"), ["skeleton", "word"], "left")
     best = ordinary.join(used.select("skeleton", "form", "n"), ["skeleton", "form"]).groupBy("skeleton", "word").agg(F.max(F.struct("n", "form")).alias("best"))
