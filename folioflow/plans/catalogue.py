@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.operators import content, details, layout, selection, state, timestamps
+from folioflow.operators import content, details, extras, layout, selection, state, timestamps
 from folioflow.plans import documents
 from folioflow.sources import http, store
 from folioflow.streaming import carry_over, gestures, reader
 
-_MODULES = (selection, content, state, details, documents, layout, carry_over, gestures, reader, http, store)
+_MODULES = (selection, content, state, details, extras, documents, layout, carry_over, gestures, reader, http, store)
 
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | {
     "p6_found": timestamps.p6_found,

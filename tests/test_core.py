@@ -322,3 +322,38 @@ def test_reading_session():
     assert s.act("tap") and s.act("tap") and s.read == {0, 1} and s.act("swipe-right") and s.mode == "finished"
     assert not s.act("swipe-left") and s.act("long-press") and s.mode == "home" and not s.act("long-press")
     assert not Session([]).act("swipe-up") and Session([]).act("swipe-right")
+
+
+def test_bounded_sources_and_answers(spark, tmp_path):
+    from folioflow.operators import extras
+
+    (tmp_path / "a.txt").write_bytes("ééé".encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    files = {r.path.rsplit("/", 1)[-1]: (bytes(r.content), r.length, r.truncated) for r in extras.read_files(spark, str(tmp_path), 3).collect()}
+    assert files == {"a.txt": ("ééé".encode()[:3], 6, True)}
+    df = spark.createDataFrame([(1, b"abc", None), (2, b"abc", "900150983cd24fb0d6963f7d28e17f72"), (3, None, None), (4, b"\xc3\xa9\xff", "x")], "k int, body binary, tag string")
+    got = {r.k: r.a for r in df.select("k", extras.conditional_answer(F.col("body"), F.col("tag"), 2).alias("a")).collect()}
+    assert [(got[k].status, got[k].truncated) for k in (1, 2, 3, 4)] == [(200, True), (304, False), (404, False), (200, True)] and bytes(got[1].body) == b"ab" and got[2].body is None
+    text = {r.k: r.t for r in df.select("k", extras.repaired_utf8(F.col("body")).alias("t")).collect()}
+    assert (text[1].text, text[1].valid, text[4].text, text[4].valid, text[3].text) == ("abc", True, "é�", False, None)
+
+
+def test_bodies_are_kept_until_a_new_one_comes(spark):
+    from folioflow.operators.extras import kept_bodies
+
+    at = lambda d: datetime(2026, 1, d)
+    rows = [("a", at(1), 1, 200, "e1", "one"), ("a", at(2), 2, 304, None, None), ("b", at(1), 3, 200, "e2", "two"), ("b", at(3), 4, 500, None, None), ("c", at(1), 5, 304, None, None), ("d", at(1), 6, 0, None, None), ("a", at(1), 7, 200, "e3", "new"), ("e", None, 8, 200, None, "x")]
+    df = spark.createDataFrame(rows, "url string, fetched_at timestamp_ntz, seq int, status int, etag string, body string")
+    got = {r.url: (r.body, r.etag, r.checked_at, r.problem) for r in kept_bodies(df).collect()}
+    assert got == {"a": ("new", "e3", at(2), None), "b": ("two", "e2", at(1), "status 500"), "c": (None, None, at(1), "status 304"), "d": (None, None, None, "status 0"), "e": ("x", None, None, None)}
+    assert kept_bodies(df.filter("seq < 0")).count() == 0
+
+
+def test_small_arithmetic(spark):
+    from folioflow.operators import extras
+
+    df = spark.createDataFrame([("+90",), ("-1440",), ("1441",), ("x",), ("",), (None,), ("9" * 40,)], "t string")
+    assert [r.m for r in df.select(extras.offset_minutes(F.col("t")).alias("m")).collect()] == [90, -1440, None, None, None, None, None]
+    assert [r.p for r in spark.createDataFrame([(7,), (8,), (24,), (-9,)], "v int").select(extras.to_px(F.col("v")).alias("p")).collect()] == [0, 1, 2, -1]
+    box = F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(2).alias("width"), F.lit(0).alias("height"))
+    assert spark.range(1).select(extras.inside(F.lit(1), F.lit(1), box)).first()[0] is False
