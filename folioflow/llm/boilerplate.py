@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioflow.session import bounded_broadcast, cut
 
@@ -30,13 +31,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, hash) of every chunk of every line. Cuts depend on the letters of the line alone; a line's ends are cuts."""
+def _cuts(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mixed letters, first letter, size, line number) of the chunks of lines set one after the other."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes)
+    none = np.empty(0, np.int64)
     if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return codes, none, none, none
     mixed = _mixed(codes + np.uint64(0x9E3779B97F4A7C15))
     line = np.repeat(np.arange(len(lines)), sizes)
     starts = np.cumsum(sizes) - sizes
@@ -49,11 +51,23 @@ def chunks_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cut[ends[sizes > 0] - 1] = True
     last = np.flatnonzero(cut)
     first = np.concatenate(([0], last[:-1] + 1))
-    base = np.uint64(0x2545F4914F6CDD1D)
-    powers = np.cumprod(np.full(int((last - first).max()) + 1, base, np.uint64))
-    place = np.arange(n) - np.repeat(first, last - first + 1)
+    return mixed, first, last - first + 1, line[first]
+
+
+def chunks_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, hash) of every chunk of every line. Cuts depend on the letters of the line alone; a line's ends are cuts."""
+    mixed, first, size, line = _cuts(lines)
+    if len(first) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    powers = np.cumprod(np.full(int(size.max()), np.uint64(0x2545F4914F6CDD1D), np.uint64))
+    place = np.arange(len(mixed)) - np.repeat(first, size)
     sums = np.add.reduceat(mixed * powers[place], first)
-    return line[first], _mixed(sums + (last - first).astype(np.uint64)).view(np.int64)
+    return line, _mixed(sums + (size - 1).astype(np.uint64)).view(np.int64)
+
+
+def chunk_sizes(lines: list[str]) -> np.ndarray:
+    """Letters of every chunk, in the order of :func:`chunks_of`."""
+    return _cuts(lines)[2]
 
 
 def lines_of(items: DataFrame, *keep: str) -> DataFrame:
@@ -133,6 +147,66 @@ def without_blocks(items: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.withColumn("blocks", F.when(F.col("_gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains(F.col("_gone"), b.pos)))).drop("_gone")
 
 
+def _letters(text: str) -> tuple[str, list[int]]:
+    """The lower-case letters of a text and the place of each in it."""
+    found = [(x, k) for k, c in enumerate(text) for x in c.lower() if x.isalpha()]
+    return "".join(x for x, _ in found), [k for _, k in found]
+
+
+def text_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(item_id, source_name, pos, chunk, start, stop): the chunks of each text with the stretch of it that they stand for; the stretches make up the text."""
+    for batch in batches:
+        texts = batch["text"].tolist()
+        letters, places = zip(*map(_letters, texts), strict=True) if texts else ((), ())
+        line, chunk = chunks_of(list(letters))
+        first = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else line
+        # how many letters of its line stand before each chunk: its size is found by cutting the line again
+        sizes = chunk_sizes(list(letters))
+        before = np.cumsum(sizes) - sizes
+        base = np.repeat(before[first], np.diff(np.append(first, len(line)))) if len(line) else before
+        begin = before - base
+        start = [0 if b == 0 else places[i][b] for i, b in zip(line.tolist(), begin.tolist(), strict=True)]
+        stop = [len(texts[i]) if b + n == len(places[i]) else places[i][b + n] for i, b, n in zip(line.tolist(), begin.tolist(), sizes.tolist(), strict=True)]
+        own = batch.iloc[line]
+        yield pd.DataFrame({"item_id": own["item_id"].to_numpy(), "source_name": own["source_name"].to_numpy(), "pos": own["pos"].to_numpy(np.int32), "chunk": chunk, "start": np.array(start, np.int32), "stop": np.array(stop, np.int32)})
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the stretches; what is left is trimmed, and null where nothing is."""
+
+    def cut_out(text: str, stretches) -> str | None:
+        if stretches is None or text is None:
+            return text
+        left, at = [], 0
+        for a, b in sorted((x["start"], x["stop"]) for x in stretches):
+            left.append(text[at : max(a, at)])
+            at = max(at, b)
+        return "".join([*left, text[at:]]).strip() or None
+
+    return pd.Series([cut_out(t, x) for t, x in zip(texts, spans, strict=True)], dtype=object)
+
+
+def cut_chunks(items: DataFrame, least_rows: int = 10, least_share: float = 0.05) -> DataFrame:
+    """(item_id, pos, text): every block of ``items``, without the chunks that its source repeats in ``least_rows`` rows and ``least_share`` of its rows.
+
+    A repeated line inside a longer text goes but for the letters up to its first cut, and what stands around it stays. Blocks of which nothing is left have no row.
+    Null texts, texts without letters and rows without a source are left as they are; an item id with several rows counts as one. Chunks are counted
+    per source and document, combined before the shuffle; a hot source costs its distinct chunks.
+    """
+    block = F.posexplode("blocks").alias("_", "b")
+    blocks = items.select("item_id", "source_name", block).select("item_id", "source_name", F.col("b.pos").cast("int").alias("pos"), F.col("b.text").alias("text"))
+    chunks = blocks.filter(F.col("text").isNotNull() & F.col("source_name").isNotNull()).mapInPandas(text_chunks, "item_id bigint, source_name string, pos int, chunk bigint, start int, stop int")
+    rows = items.filter(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.greatest(F.lit(float(least_rows)), least_share * F.count("*")).alias("least"))
+    totals = bounded_broadcast(rows)
+    counted = chunks.select("source_name", "chunk", "item_id").distinct().groupBy("source_name", "chunk").agg(F.count("*").alias("docs"))
+    excessive = bounded_broadcast(counted.join(totals, "source_name").filter("docs >= least - 1e-9").select("source_name", "chunk"), 1_000_000)
+    spans = chunks.join(excessive, ["source_name", "chunk"], "left_semi").groupBy("item_id", "pos").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most the chunks of one text
+    joined = blocks.join(spans, ["item_id", "pos"], "left")
+    done = joined.select("item_id", "pos", F.col("text").isNull().alias("empty"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans")).alias("text"))
+    return done.filter(F.col("text").isNotNull() | F.col("empty")).drop("empty")
+
+
 def _items(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/items.parquet").select("item_id", "source_name", "blocks")
 
@@ -141,6 +215,11 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     return repeated_blocks(_items(spark, sf_dir)).distinct()
 
 
+def p4_cut(spark, sf_dir: str) -> DataFrame:
+    """Every block without the chunks that its source repeats excessively, wherever they stand in it."""
+    return cut_chunks(_items(spark, sf_dir))
+
+
 def p4_cleaned(spark, sf_dir: str) -> DataFrame:
     """Every item with the number and the joined text of the blocks that are left."""
     items = _items(spark, sf_dir)

@@ -14,6 +14,7 @@ QUERIES = {
     "p3_groups": lookalikes.p3_groups,
     "p4_found": boilerplate.p4_found,
     "p4_cleaned": boilerplate.p4_cleaned,
+    "p4_cut": boilerplate.p4_cut,
     "p5_found": truncation.p5_found,
     "p5_shares": truncation.p5_shares,
     "p7_packed": packing.p7_packed,

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,29 @@ def test_repeated_blocks_against_brute_force(spark):
     assert boilerplate.repeated_blocks(df.filter("item_id < 0")).count() == 0
 
 
+def test_notices_glued_to_paragraphs_are_cut_out(spark):
+    rng = random.Random(9)
+    notice = "This article was first published by the Westerpool Harbour Gazette and is reproduced here under a licence that forbids all further copying."
+    bodies = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(200)).strip() + "." for _ in range(60)]
+    rows = [item(k, "S", body=(f"{b} {notice}" if k % 2 else b, None, "12 3")) for k, b in enumerate(bodies)] + [item(100, "S", body=(notice,)), item(101, None, body=(notice,)), item(102, "S", body=None)]
+    got = {(r.item_id, r.pos): r.text for r in boilerplate.cut_chunks(spark.createDataFrame(rows, ITEMS)).collect()}
+    starts = 0
+    for k, b in enumerate(bodies):
+        text = got[k, 0]
+        assert got[k, 1] is None and got[k, 2] == "12 3"
+        if k % 2 == 0:
+            assert text == b
+        else:
+            assert text.startswith(b) and len(text) < len(b) + len(notice) - 60  # the rest up to the first cut inside the notice may stay
+            starts += 1
+    assert starts == 30 and (100, 0) not in got or len(got[100, 0]) < len(notice)
+    assert got[101, 0] == notice and (102, 0) not in got
+    text = "Äb, c–d! " * 30
+    (chunks,) = boilerplate.text_chunks(iter([pd.DataFrame({"item_id": [1, 2], "source_name": ["S", "S"], "pos": [0, 1], "text": [text, "?!"]})]))
+    spans = sorted(zip(chunks["start"], chunks["stop"], strict=True))
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and set(chunks["item_id"]) == {1}
+
+
 # ------------------------------------------------------------------ 5 truncation
 
 
