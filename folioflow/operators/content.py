@@ -136,16 +136,19 @@ def extract_article(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "items").select("item_id", run.alias("run")).filter(F.col("run").isNotNull()).select("item_id", "run.first", "run.last", "run.score")
 
 
-EXTRACT_ARTICLE_SQL = """
-with b as (select item_id, unnest(blocks) as b, unnest(range(0, len(blocks))) as pos from items),
-s as (select item_id, pos, b.type as type, strlen(coalesce(b.text, '')) as n,
-  case when b.type in ('paragraph', 'blockquote') then strlen(coalesce(b.text, '')) - 90 when b.type = 'heading' then case when strlen(coalesce(b.text, '')) > 0 then -30 else -90 end
-    when b.type = 'list-item' then (strlen(coalesce(b.text, '')) - 90) // 2 else -90 end as score from b),
-t as (select *, sum(score) over w as total from s window w as (partition by item_id order by pos)),
-m as (select *, min({'v': total - score, 'p': -pos}) over (partition by item_id order by pos) as low from t),
-best as (select item_id, max({'s': total - low.v, 'p': -pos}) as best, arg_max(-low.p, {'s': total - low.v, 'p': -pos}) as first from m group by item_id),
-r as (select item_id, first::int as first, least(-best.p, first + 399)::int as last, best.s::int as score from best where best.s > 0)
-select r.* from r where exists (select 1 from s where s.item_id = r.item_id and s.pos between r.first and r.last and s.type = 'paragraph' and s.n >= 90)"""
+def article_run_sql(blocks: str, key: str) -> str:
+    """The article runs of ``blocks``, a query of (key, pos, type, n) with the bytes of each block."""
+    return f"""
+with s as (select {key}, pos, type, n, case when type in ('paragraph', 'blockquote') then n - 90 when type = 'heading' then case when n > 0 then -30 else -90 end
+    when type = 'list-item' then (n - 90) // 2 else -90 end as score from ({blocks})),
+t as (select *, sum(score) over w as total from s window w as (partition by {key} order by pos)),
+m as (select *, min({{'v': total - score, 'p': -pos}}) over (partition by {key} order by pos) as low from t),
+best as (select {key}, max({{'s': total - low.v, 'p': -pos}}) as best, arg_max(-low.p, {{'s': total - low.v, 'p': -pos}}) as first from m group by {key}),
+r as (select {key}, first::int as first, least(-best.p, first + 399)::int as last, best.s::int as score from best where best.s > 0)
+select r.* from r where exists (select 1 from s where s.{key} = r.{key} and s.pos between r.first and r.last and s.type = 'paragraph' and s.n >= 90)"""
+
+
+EXTRACT_ARTICLE_SQL = article_run_sql("select item_id, pos, b.type as type, strlen(coalesce(b.text, '')) as n from (select item_id, unnest(blocks) as b, unnest(range(0, len(blocks))) as pos from items)", "item_id")
 
 
 def _address(url: Column) -> Column:
@@ -181,10 +184,12 @@ d as (select arg_max({{'doc_id': doc_id, 'crawled_at': crawled_at, 'text': text}
   from a where x.h <> '' group by all),
 i as (select item_id, list_filter(list_transform(coalesce(blocks, []), lambda b: b.text), lambda t: t <> '') as own, regexp_extract(regexp_replace(trim(link), '(?s)#.*$', ''), '{_ADDRESS}', ['s', 'h', 'p', 'r']) as x from items where truncation <> 'none'),
 j as (select item_id, d.doc_id as doc_id, d.crawled_at as crawled_at, coalesce(list_filter(list_transform(regexp_split_to_array(d.text, '
-[ 	]*
+[ 	
+]*
 '),
   lambda x: regexp_replace(regexp_replace(x, '[ 	
-]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), own) as t
+
+]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), own) as t
   from i left join d on x.h <> '' and s = lower(x.s) and h = lower(x.h) and r = x.r and p = coalesce(nullif(x.p, ''), case when lower(x.s) = 'https' then '443' else '80' end))
 select item_id, doc_id, crawled_at, len(t)::int as paragraphs, array_to_string(t, chr(10)) as text from j"""
 

@@ -50,8 +50,15 @@ def ranked(df: DataFrame, group: str, *order: Column, name: str = "rank") -> Dat
 
 
 def with_previous(rows: DataFrame, group: str, *columns: str) -> DataFrame:
-    """Sequenced ``rows`` with ``previous_<column>`` of the row before in the same group; null for a group's first row."""
-    shifted = rows.select((F.col("seq") + 1).alias("seq"), F.col(group).alias("_g"), *[F.col(c).alias(f"previous_{c}") for c in columns])
-    joined = rows.join(shifted, "seq", "left")
-    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_g").isNotNull()
-    return joined.withColumns({f"previous_{c}": F.when(same, F.col(f"previous_{c}")) for c in columns}).drop("_g")
+    """Sequenced ``rows`` with ``previous_<column>`` of the row before in the same group; null for a group's first row, and for rows of no group.
+
+    The row before lies in the same range, or is the last one of the range before, of which there is one per range: no row is joined with another.
+    """
+    picked = F.struct(F.col(group).alias("_g"), *[F.col(c).alias(c) for c in columns])
+    inside = Window.partitionBy("part").orderBy("seq")  # a range of rows, not a group
+    last = rows.groupBy("part").agg(F.max_by(picked, "seq").alias("_last"))
+    edges = last.select("part", F.lag("_last").over(Window.orderBy("part")).alias("_edge"))  # a row per range
+    joined = rows.withColumn("_before", F.lag(picked).over(inside)).join(bounded_broadcast(edges), "part", "left")
+    both = joined.withColumn("_before", F.coalesce("_before", "_edge"))
+    same = F.col(group) == F.col("_before")["_g"]
+    return both.withColumns({f"previous_{c}": F.when(same, F.col("_before")[c]) for c in columns}).drop("_before", "_edge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.operators.content import article_run
+from folioflow.operators.content import article_run, article_run_sql
 from folioflow.session import table
 from folioflow.sources.feeds import feed_items, opml_feeds
 from folioflow.sources.html import NO_LIMITS, html_losses, html_to_blocks
@@ -46,10 +46,15 @@ with {_PAGE_LINES} select doc_id, least(len(b), 600)::int as kept, greatest(len(
 
 def page_article(spark, sf_dir: str) -> DataFrame:
     """The article run of every page, without its navigation and footer."""
-    rows = _pages(spark, sf_dir).select("doc_id", html_to_blocks(F.col("page")).alias("blocks"))
+    rows = _pages(spark, sf_dir).select("doc_id", html_to_blocks(F.col("page"), NO_LIMITS).alias("blocks"))
     return rows.select("doc_id", F.size("blocks").alias("n_blocks"), article_run(F.col("blocks")).alias("run")).filter("run is not null").select("doc_id", "n_blocks", "run.first", "run.last", "run.score")
 
 
+_PAGE_BLOCKS = f"with {_PAGE_LINES} select doc_id, unnest(range(0, len(b))) as pos, case when unnest(range(0, len(b))) = 0 then 'list-item' else 'paragraph' end as type, strlen(unnest(b)) as n from l"
+PAGE_ARTICLE_SQL = f"""
+select r.doc_id, n_blocks, first, last, score from ({article_run_sql(_PAGE_BLOCKS, "doc_id")}) r join (with {_PAGE_LINES} select doc_id, len(b)::int as n_blocks from l) using (doc_id)"""
+
+
 def _documents(spark, sf_dir: str) -> DataFrame:
     """Every item as a feed document of its own."""
     t = lambda name, c: F.concat(F.lit(f"<{name}>"), escaped(F.coalesce(F.col(c), F.lit(""))), F.lit(f"</{name}>"))
@@ -102,7 +107,7 @@ OPML_MERGE_SQL = "select url, source_name as title, section from feeds"
 QUERIES = {
     "html_blocks": (html_blocks, HTML_BLOCKS_SQL),
     "html_limited": (html_limited, HTML_LIMITED_SQL),
-    "page_article": (page_article, None),
+    "page_article": (page_article, PAGE_ARTICLE_SQL),
     "feed_parse": (feed_parse, FEED_PARSE_SQL),
     "parse_report": (parse_report, PARSE_REPORT_SQL),
     "opml_merge": (opml_merge, OPML_MERGE_SQL),
