@@ -66,6 +66,9 @@ class Misreading:
         return "".join(self.chars[b] for b in raw)
 
 
+#: what letter pairs have to show: the characters of a text that votes without a twin, and how many nats likelier each of its pairs has to get;
+#: the pairs and the nats, in all and each, by which a word's letters are replaced one by one
+ALONE_CHARS, ALONE_MARGIN, SWAP_PAIRS, SWAP_GAIN, SWAP_GAIN_EACH = 12, 1.5, 3, 8.0, 2.0
 #: what one-byte encodings hold besides ASCII: letter pairs are counted among these only
 BYTE_CHARS = frozenset(c for codec in {*WRITTEN, *READ} - {"utf-8"} for c in byte_table(codec)[128:])
 
@@ -193,8 +196,8 @@ def vote(pairs: dict[str, int]):
 
 
 def vote_alone(pairs: dict[str, int]):
-    """Votes of texts without twin: their letter pairs are unusual (by ``margin`` nats each), and usual ones once a way is undone."""
-    margin, total = 1.5, max(1, sum(pairs.values()))
+    """Votes of texts without twin: their letter pairs are unusual (by ``ALONE_MARGIN`` nats each), and usual ones once a way is undone."""
+    margin, total = ALONE_MARGIN, max(1, sum(pairs.values()))
     expected = sum(n * math.log(n + 0.5) for n in pairs.values()) / total
     ways = list(enumerate(misreadings()))
 
@@ -204,7 +207,7 @@ def vote_alone(pairs: dict[str, int]):
             votes: Counter = Counter()
             for text in batch["form"]:
                 seen = _familiar(text, pairs)
-                if len(text) >= 12 and seen < expected - margin:
+                if len(text) >= ALONE_CHARS and seen < expected - margin:
                     usual: dict[int, float] = {}
                     for k, table in backs:
                         if ways[k][1].bytes_of is None:
@@ -360,7 +363,7 @@ class Restorer:
                 if gained is None:
                     total, k = self.gain(word, word.translate(letters))
                     most = 2 * sum(ord(c) in letters for c in word) >= sum(c > "\x7f" for c in word)
-                    gained = self.known[name, word] = total if most and k >= 3 and total > 2.0 * k and total > 8 else 0.0
+                    gained = self.known[name, word] = total if most and k >= SWAP_PAIRS and total > SWAP_GAIN_EACH * k and total > SWAP_GAIN else 0.0
                 if gained:
                     spans.append((m.start(), m.end(), gained))
             if spans and (best is None or sum(s[2] for s in spans) > best[0]):

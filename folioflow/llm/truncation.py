@@ -108,16 +108,16 @@ def story_of(items: DataFrame) -> Column:
     return F.when(F.coalesce(*parts).isNull(), F.xxhash64("item_id")).otherwise(F.xxhash64(record_key(*parts)))
 
 
-def values_with_ends(items: DataFrame) -> DataFrame:
+def values_with_ends(items: DataFrame, line_rows: int = 10, line_share: float = 0.002) -> DataFrame:
     """(item_id, source_name, field, size, sign, ended, inner, lost, word, one, two): summaries, and the last running block of bodies.
 
-    Repeated lines of the source, headings, captions and lists don't count as running text; lines are counted by distinct stories, as a
+    Repeated lines of the source (in ``line_rows`` stories and ``line_share`` of them), headings, captions and lists don't count as running text; lines are counted by distinct stories, as a
     story that is delivered often repeats its own text. ``lost`` is true where ``text_bytes`` is more than the blocks hold or ``truncation`` names a cut of the body; ``items`` may lack these two columns.
     Texts are judged where they are read; only what was found of each is shuffled to meet the repeated lines.
     """
     rows = items.withColumn("source_name", F.coalesce("source_name", F.lit("")))
     texts = rows.withColumn("blocks", F.filter("blocks", lambda b: b.type.isin(*RUNNING)))  # no other block is ever judged
-    gone = repeated_blocks(texts, 10, 0.002, story_of(rows)).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
+    gone = repeated_blocks(texts, line_rows, line_share, story_of(rows)).groupBy("item_id").agg(F.collect_set("pos").alias("gone"))  # at most the blocks of one item
     running = F.filter(F.coalesce("blocks", F.array()), lambda b: b.type.isin(*RUNNING) & F.coalesce(b.text.rlike(r"\S"), F.lit(False)))
     stored = F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("bigint"), lambda n, b: n + F.coalesce(F.octet_length(b.text), F.lit(0)))
     fewer = F.coalesce(F.col("text_bytes") > stored, F.lit(False)) if "text_bytes" in items.columns else F.lit(False)
