@@ -11,6 +11,8 @@ _NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and len(k) <= 3
 _FOLDED = {k.lower(): v for k, v in reversed(list(_NAMES.items()))}
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]{0,30});")
 _ASIDE = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)", re.S)
+# a tag without quotes; as it ends at the next "<" at the latest, trying it at every "<" takes no more than the text's length
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z_][^\s/<>\"']*)([^<>\"']*)>")
 _NAME = re.compile(r"</?([A-Za-z_][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -71,7 +73,8 @@ def tokens(text: str, raw_tags: frozenset[str] = frozenset()) -> Iterator[tuple]
     The content of a tag in ``raw_tags`` is passed over up to its literal end tag. A ``<`` that begins no tag is text. Time grows with the length
     of the text, whatever it holds.
     """
-    at, size, ends = 0, len(text), _TagEnds(text)
+    at, size, last = 0, len(text), text.rfind(">")
+    ends: _TagEnds | None = None  # made when a tag needs it
     while at < size:
         if text[at] != "<":
             stop = text.find("<", at)
@@ -79,25 +82,31 @@ def tokens(text: str, raw_tags: frozenset[str] = frozenset()) -> Iterator[tuple]
             yield "text", decode_entities(text[at:stop])
             at = stop
             continue
-        if m := _ASIDE.match(text, at):
+        if m := _PLAIN_TAG.match(text, at):
+            slash, name, rest = m.groups()
             at = m.end()
-            if m["cdata"] is not None:
-                yield "text", m["cdata"]
-            continue
-        if text.startswith("<!", at):
-            stop = ends.at[-1] if ends.at else -1
-            if stop > at and (close := text.find(">", at)) >= 0:
-                at = close + 1
+        else:
+            if m := _ASIDE.match(text, at):
+                at = m.end()
+                if m["cdata"] is not None:
+                    yield "text", m["cdata"]
                 continue
-        stop = ends.after(at)
-        m = _NAME.match(text, at, stop) if stop >= 0 else None
-        if m is None:
-            yield "text", "<"
-            at += 1
-            continue
-        name, rest = m.group(1).lower(), text[m.end() : stop]
-        at = stop + 1
-        if text[m.start() + 1] == "/":
+            if text.startswith("<!", at) and last > at:
+                at = text.index(">", at) + 1
+                continue
+            stop = -1
+            if last > at:
+                ends = ends or _TagEnds(text)
+                stop = ends.after(at)
+            m = _NAME.match(text, at, stop) if stop >= 0 else None
+            if m is None:
+                yield "text", "<"
+                at += 1
+                continue
+            slash, name, rest = text[at + 1] == "/", m.group(1), text[m.end() : stop]
+            at = stop + 1
+        name = name.lower()
+        if slash:
             yield "end", name
             continue
         closed = rest.endswith("/")
